@@ -3,7 +3,7 @@
 Each distinct shingle set gets a signature of ``trees x depth`` min-hashes. Every tree sorts the
 sets by its own ``depth`` values, so that sets with a long common prefix lie side by side; how
 deep two neighbours agree follows from how crowded their region of the order is. In each order a set
-proposes its most alike neighbour before and after it. Proposed pairs are confirmed on the full
+proposes its most alike neighbour before it. Proposed pairs are confirmed on the full
 sets and linked; the components of these links are the groups. The sets that took part are then sorted
 once more, each proposing all that lie near it in another group, so that no crowd of likelier
 neighbours hides a link.
@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import saved
+from ledgerfold.llm.store import freed, saved
 
 TREES, DEPTH, SKETCH = 16, 6, 64
 WINDOW, WIDE = 16, 32
 #: Least share of equal sketch bytes: five standard deviations below a likeness of 0.8.
 ALIKE = 0.56
-#: Rounds that confirm each component's best pair only; one more confirms every pair left.
-BEST_ROUNDS = 3
+#: Rounds that confirm each component's best pair only; after them, every pair left is confirmed.
+BEST_ROUNDS = 2
 
 _ODD = kernel.mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = (_ODD[: TREES * DEPTH] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_ODD[TREES * DEPTH :] >> np.uint64(32)).astype(np.uint32)
@@ -105,37 +105,36 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _neighbours(window: int, alike: float, percent: int, seams: bool, every: bool):
-    """Over sorted rows: of the neighbours with a common prefix and another component, each row's most alike one before and after it, or ``every`` one.
+    """Over sorted rows: of the neighbours before it with a common prefix and another component, each row's most alike one, or ``every`` one.
 
     ``seams``: the first and last rows of the partition are given back too, to be joined with what lies beyond.
     """
 
-    def best(rows: pa.Table, low: int, high: int) -> list[tuple[bytes, bytes, float]]:
-        """The proposals of rows ``low`` to ``high``."""
+    def best(rows: pa.Table, low: int) -> list[tuple[bytes, bytes, float]]:
+        """The proposals of the rows from ``low``."""
         n = rows.num_rows
         tree, size = rows["tree"].to_numpy(), rows["n_shingles"].to_numpy()
         label, sketch = _matrix(rows["label"], 4 * DEPTH), _matrix(rows["sketch"], SKETCH)
         lead = label[:, :4].copy().view(">u4")[:, 0].astype(np.int64) + (tree.astype(np.int64) << 32)
-        score, who, found = np.full((2, n), -1.0), np.zeros((2, n), np.int64), []
+        score, who, found = np.full(n, -1.0), np.zeros(n, np.int64), []
         nodes, group = rows["node"].combine_chunks(), _matrix(rows["component"], 16).copy().view("<u8")
+
+        def name(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> list[tuple[bytes, bytes, float]]:
+            ids = nodes.take(pa.array(np.concatenate([i, j]))).to_pylist()
+            return [(*sorted(p), x) for *p, x in zip(ids[: len(i)], ids[len(i) :], s.tolist(), strict=True)]
+
         for o in range(1, min(window, n - 1) + 1):
             i = np.flatnonzero((lead[o:] == lead[:-o]) & (group[o:] != group[:-o]).any(axis=1) & (100 * np.minimum(size[o:], size[:-o]) >= percent * np.maximum(size[o:], size[:-o]))) + o
-            if not i.size:
-                continue
+            i = i[i >= low]
             s = (sketch[i] == sketch[i - o]).mean(axis=1)
             i, s = i[s >= alike], s[s >= alike]
             if every:
-                i, s = i[i - o >= low], s[i - o >= low]
-                ids = nodes.take(pa.array(np.concatenate([i, i - o]))).to_pylist()
-                found += [(*sorted(p), x) for *p, x in zip(ids[: len(i)], ids[len(i) :], s.tolist(), strict=True)]
-                continue
-            for side, me, other in ((0, i, i - o), (1, i - o, i)):
-                up = s > score[side, me]
-                score[side, me[up]], who[side, me[up]] = s[up], other[up]
-        for side in (0, 1):
-            me = np.flatnonzero(score[side, low:high] >= 0) + low
-            ids = nodes.take(pa.array(np.concatenate([me, who[side, me]]))).to_pylist()
-            found += [(*sorted(p), s) for *p, s in zip(ids[: len(me)], ids[len(me) :], score[side, me].tolist(), strict=True)]
+                found += name(i, i - o, s)
+            else:
+                up = s > score[i]
+                score[i[up]], who[i[up]] = s[up], i[up] - o
+        me = np.flatnonzero(score >= 0)
+        found += name(me, who[me], score[me])
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,18 +152,13 @@ def _neighbours(window: int, alike: float, percent: int, seams: bool, every: boo
             rows = pa.Table.from_batches([batch])
             if seams and not begun and rows.num_rows:
                 yield edge(rows.slice(0, window))
-            start = window if begun else 0
+            seen = held.num_rows if held is not None else 0
             rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-            begun = begun or rows.num_rows > window
-            if rows.num_rows <= 2 * window:
-                held, begun = rows, start > 0
-                continue
-            yield pairs(best(rows, start, rows.num_rows - window))
-            held = rows.slice(rows.num_rows - 2 * window)
+            yield pairs(best(rows, seen))
+            held, begun = rows.slice(max(0, rows.num_rows - window)), True
         if held is not None and held.num_rows:
-            yield pairs(best(held, window if begun else 0, held.num_rows))
             if seams:
-                yield edge(held.slice(max(0, held.num_rows - window)))
+                yield edge(held)
 
     return run
 
@@ -192,10 +186,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = saved(small, "edges")
+        old, now = now, saved(small, "edges")
+        freed(old)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -223,27 +218,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
-    """Confirmed links that join all whose pairs hold (None without pairs), and each set's component.
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Some rounds that confirm each component's best pair only: the links found, each set's component, and the pairs between components not looked at yet.
 
-    A pair within one component needs no look. Some rounds confirm the best pair of each component only, the last all that are left.
+    A pair within one component needs no look.
     """
     part, left, links = sets.select("node", F.col("node").alias("component")), pairs, None
-    for turn in range(BEST_ROUNDS + 1):
-        if left.isEmpty():
-            break
+    for _ in range(BEST_ROUNDS):
         at_a, at_b = (part.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        now = left
-        if turn < BEST_ROUNDS:
-            ends = left.join(at_a, "a").join(at_b, "b").select("a", "b", "alike", F.explode(F.array("of_a", "of_b")).alias("end"))
-            now = saved(ends.groupBy("end").agg(F.max(F.struct("alike", "a", "b")).alias("top")).select("top.a", "top.b").distinct(), "chosen")
+        apart = left.join(at_a, "a").join(at_b, "b").where("of_a <> of_b")
+        ends = apart.select("a", "b", "alike", F.explode(F.array("of_a", "of_b")).alias("end"))
+        now = saved(ends.groupBy("end").agg(F.max(F.struct("alike", "a", "b")).alias("top")).select("top.a", "top.b").distinct(), "chosen")
         good = saved(_confirmed(now, sets, percent), "links")
         links = good if links is None else links.unionByName(good)
         part = saved(sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
-        at_a, at_b = (part.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        rest = left.join(now.select("a", "b"), ["a", "b"], "left_anti")
-        left = saved(rest.join(at_a, "a").join(at_b, "b").where("of_a <> of_b").select("a", "b", "alike"), "left")
-    return links, part
+        left = left.join(now, ["a", "b"], "left_anti")
+    at_a, at_b = (part.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    return links, part, left.join(at_a, "a").join(at_b, "b").where("of_a <> of_b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -266,15 +257,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = wanted.select(F.col("node").alias("wanted"), F.col("least").alias("least_id"))
     texts = narrow.join(rows, narrow["id"].eqNullSafe(rows["least_id"])).select("wanted", "text")
     sets = saved(texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>").where("wanted = node").select("node", "members").dropDuplicates(["node"]), "sets")
-    links, part = _linked(pairs, sets, percent)
-    if links is not None:
-        again = wanted.join(part, "node")
-        more = _pairs(again, percent, WIDE, True).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(saved(_confirmed(more, sets, percent), "links"))
-        of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    else:
-        named = nodes.select("node", F.col("least").alias("component_id"))
+    links, part, left = _linked(pairs, sets, percent)
+    wide = _pairs(wanted.join(part, "node"), percent, WIDE, True).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    links = links.unionByName(saved(_confirmed(left.unionByName(wide), sets, percent), "links"))
+    of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     out = found.select("id", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

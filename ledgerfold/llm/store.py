@@ -35,6 +35,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> None:
+    """Deletes a table made by ``saved`` that nothing reads any more; what its making shuffled can go too."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().rpartition("-")[2].isalnum() and shared_dir(spark).rpartition(":")[2] in folder.toString():
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    jvm.System.gc()
+
+
 def fold(column, modulus: int):
     """crc32 of the column as text, modulo ``modulus``; null for null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
