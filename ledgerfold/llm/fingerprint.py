@@ -46,15 +46,18 @@ def _shingles(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def _fill(bins: Column, full: Column) -> Column:
-    """Values of all bins; ``bins``: value or null, ``full``: bin and value of those that have one."""
+def _fill(bins: Column, full: Column, strides: Column, shifts: Column, back: Column) -> Column:
+    """Values of all bins; ``bins``: value or null, ``full``: bin and value of those that have one. The rest: the tables of the orders."""
+    last = F.lit(BINS - 1)
 
     def nearest(i: Column) -> Column:
-        place = lambda v: F.shiftleft(((_bin(v) - F.get(F.lit(_SHIFTS), i)) * F.get(F.lit(_BACK), i)).bitwiseAND(F.lit(BINS - 1).cast("bigint")), VALUE_BITS).bitwiseOR(v.bitwiseAND(F.lit(VALUE)))
-        return F.array_min(F.transform(full, place)).bitwiseAND(F.lit(VALUE))
+        place = lambda v, away, turn: F.shiftleft(((_bin(v) - away) * turn).bitwiseAND(last.cast("bigint")), VALUE_BITS).bitwiseOR(v.bitwiseAND(F.lit(VALUE)))
+        return F.array_min(F.transform(full, lambda v: place(v, F.get(shifts, i), F.get(back, i)))).bitwiseAND(F.lit(VALUE))
 
-    probes = [[(c + j * a) % BINS for a, c in zip(_STRIDES, _SHIFTS, strict=True)] for j in range(PROBES)]
-    return F.transform(bins, lambda v, i: F.coalesce(v, *(F.get(bins, F.get(F.lit(p), i)) for p in probes), nearest(i)))
+    asked = lambda i, j: F.get(bins, (F.get(shifts, i) + F.get(strides, i) * j).bitwiseAND(last))
+    # A value taken over is hashed with its new bin, else the copies of one unequal value would agree or differ in their low bits all together.
+    taken = lambda i: F.xxhash64(F.coalesce(*(asked(i, j) for j in range(PROBES)), nearest(i)), i)
+    return F.transform(bins, lambda v, i: F.coalesce(v, taken(i)))
 
 
 def _pack(values: Column) -> Column:
@@ -76,7 +79,11 @@ def fingerprint(text: Column) -> Column:
     def binned(hashes: Column) -> Column:
         least = let(F.sort_array(F.concat(hashes, ends)), lambda s: F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(s, i - 1)))))
         empty = lambda v: v.bitwiseAND(F.lit(VALUE)) == VALUE
-        return let(least, lambda m: let(F.transform(m, lambda v: F.when(~empty(v), v.bitwiseAND(F.lit(VALUE)))), lambda bins: let(F.filter(m, lambda v: ~empty(v)), lambda full: _pack(_fill(bins, full)))))
+        return let(least, lambda m: let(F.transform(m, lambda v: F.when(~empty(v), v.bitwiseAND(F.lit(VALUE)))), lambda bins: let(F.filter(m, lambda v: ~empty(v)), lambda full: filled(bins, full))))
+
+    def filled(bins: Column, full: Column) -> Column:
+        # The tables are bound once for each text: an array of literals is made anew wherever it stands.
+        return let(F.lit(_STRIDES), lambda a: let(F.lit(_SHIFTS), lambda c: let(F.lit(_BACK), lambda back: let(_fill(bins, full, a, c, back), _pack))))
 
     zero = F.lit([0] * (BINS // LANE)).cast("array<bigint>")
     return let(_shingles(white_words(F.lower(text))), lambda s: F.when(F.size(s) > 0, binned(s)).otherwise(zero))

@@ -5,20 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.fingerprint import fingerprints
+
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.secrets import digest, secrets
+
+    return digest(secrets(_read(spark, sf_dir, "documents")))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.neardup import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"), k=4)
 
 
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.mixing import mixture
+
+    return mixture(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+#: Verdict and entry of each rule.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.urlfilter import judged
+
+    return judged(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.decontam import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
+    "op3_secrets": op3_secrets,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_mixture": op5_mixture,
+    "op8_url_filter": op8_url_filter,
+    "op10_contamination": op10_contamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filter": f"""
+WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES
+    ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+    ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parted AS (SELECT page_id, {_LOWERED.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fit AS (SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host) DESC NULLS LAST, length(r.rule_path) DESC) AS place
+        FROM parted p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE place = 1""",
+    "op10_contamination": f"""
+WITH parted AS (SELECT item_id, list_filter(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS words FROM benchmark),
+wide AS (SELECT DISTINCT item_id, unnest([array_to_string(list_slice(words, i, i + 9), ' ') FOR i IN range(1, greatest(1, len(words) - 9) + 1)]) AS win, least(10, len(words)) AS width FROM parted WHERE len(words) > 0),
+docs AS (SELECT doc_id, list_filter(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS words FROM documents),
+places AS (SELECT doc_id, l.width, unnest(range(1, len(words) - l.width + 2)) AS i, words FROM docs, (SELECT DISTINCT width FROM wide) l WHERE len(words) >= l.width),
+found AS (SELECT doc_id, i, a.width, item_id FROM (SELECT doc_id, i, width, array_to_string(list_slice(words, i, i + width - 1), ' ') AS win FROM places) a JOIN wide w ON a.win = w.win AND a.width = w.width),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}
