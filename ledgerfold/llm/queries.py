@@ -12,6 +12,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm import langid
+    from ledgerfold.llm.store import fold
+
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 3) != 1), F.col("text"), F.col("lang"), F.col("doc_id"))
+    found = langid.languages(docs, model)
+    return found.select("doc_id", _held_out(3, 1), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def _held_out(modulus: int, rest: int):
+    from ledgerfold.llm.store import fold
+
+    return F.coalesce(fold(F.col("doc_id"), modulus) == rest, F.lit(False)).alias("held_out")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.fingerprint import fingerprints
 
@@ -36,6 +52,26 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm import toxicity
+    from ledgerfold.llm.store import fold
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    found = toxicity.toxicity(docs, model)
+    return found.select("doc_id", _held_out(4, 2), "score", _predicted(), F.size("offending").alias("n_offending"))
+
+
+def _predicted(bar: float = 0.3):
+    return F.when(F.col("score") >= bar, 1).otherwise(0).alias("predicted")
+
+
+def op7_line_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm.linedup import without_repeats
+
+    return without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 #: Verdict and entry of each rule.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -46,6 +82,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerfold.llm import quality
+    from ledgerfold.llm.store import fold
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return quality.quality(docs, model).select("doc_id", _held_out(5, 0), "score", _predicted())
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerfold.llm.decontam import contamination
 
@@ -53,17 +98,34 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_fingerprints": op2_fingerprints,
     "op3_secrets": op3_secrets,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_mixture": op5_mixture,
+    "op6_toxicity": op6_toxicity,
+    "op7_line_repeats": op7_line_repeats,
     "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
     "op10_contamination": op10_contamination,
 }
 
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_line_repeats": r"""
+WITH parted AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\n]{48,}?[.!?]+[ \t]*\n?|[^\n]*\n|[^\n]+') AS lines FROM documents),
+lined AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM parted)),
+filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM lined WHERE bare <> ''),
+wide AS (SELECT doc_id, k, n, least(n, 3) AS w, string_agg(bare, chr(10)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS held FROM filled),
+ranked AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY held ORDER BY doc_id, k) AS place FROM wide WHERE k + w - 1 <= n AND length(held) - w + 1 >= 40),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + w)) AS k FROM ranked WHERE place > 1),
+marked AS (SELECT l.doc_id, l.i, l.line, f.k IS NOT NULL AS is_full, g.k IS NOT NULL AS is_gone
+           FROM lined l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.i = f.i LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.k = g.k),
+joined AS (SELECT doc_id, count(*) FILTER (is_full) AS n_lines, count(*) FILTER (is_gone) AS n_removed, coalesce(string_agg(line, '' ORDER BY i) FILTER (NOT is_gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT p.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN p.text WHEN n_removed = n_lines THEN '' ELSE kept END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM parted p LEFT JOIN joined j ON p.doc_id = j.doc_id""",
     "op8_url_filter": f"""
 WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES
     ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
@@ -74,9 +136,9 @@ fit AS (SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id
         FROM parted p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE place = 1""",
     "op10_contamination": f"""
-WITH parted AS (SELECT item_id, list_filter(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS words FROM benchmark),
+WITH parted AS (SELECT item_id, list_filter(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
 wide AS (SELECT DISTINCT item_id, unnest([array_to_string(list_slice(words, i, i + 9), ' ') FOR i IN range(1, greatest(1, len(words) - 9) + 1)]) AS win, least(10, len(words)) AS width FROM parted WHERE len(words) > 0),
-docs AS (SELECT doc_id, list_filter(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '') AS words FROM documents),
+docs AS (SELECT doc_id, list_filter(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM documents),
 places AS (SELECT doc_id, l.width, unnest(range(1, len(words) - l.width + 2)) AS i, words FROM docs, (SELECT DISTINCT width FROM wide) l WHERE len(words) >= l.width),
 found AS (SELECT doc_id, i, a.width, item_id FROM (SELECT doc_id, i, width, array_to_string(list_slice(words, i, i + width - 1), ' ') AS win FROM places) a JOIN wide w ON a.win = w.win AND a.width = w.width),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM found) GROUP BY doc_id),
