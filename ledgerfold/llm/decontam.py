@@ -46,13 +46,13 @@ def windows(items: DataFrame, id_col: str, text_col: str, width: int) -> tuple[D
     return of.groupBy("window").agg(F.min("words").alias("words")), of.select("window", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW_WORDS, keyed: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
     A window is ``width`` consecutive words of an item, or all its words where it has fewer; an item without words (null, empty) has
     none. A document's word inside any occurrence of any window is hit. ``n_items``: ids with an occurring window; ``items_sha256``: of
     these ids as strings, sorted, comma-joined (null id: empty string; equal ids are one item). Null and empty texts have no words and no
-    hits. Repeated rows are judged alike, once each. Other columns are not read.
+    hits. Repeated rows are judged alike, once each. ``keyed``: with ``text_hash``, the xxhash64 of the row's text. Other columns are not read.
     """
     spark = docs.sparkSession
     whole, of_item = windows(items, item_col, item_text_col, width)
@@ -107,6 +107,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     same = lambda x: F.col("m.id").eqNullSafe(F.col(f"{x}.id")) & (F.col("m.text_hash") == F.col(f"{x}.text_hash"))
     n_hit = F.coalesce("c.n_hit", F.lit(0)).cast("bigint")
     return m.join(c, same("c"), "left").join(n, same("n"), "left").select(
-        F.col("m.id").alias(id_col), F.col("m.n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n.n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.col("m.id").alias(id_col), *([F.col("m.text_hash").alias("text_hash")] if keyed else []), F.col("m.n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n.n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce("n.ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )

@@ -110,6 +110,10 @@ def rounded(items: DataFrame, seed: int = 5) -> DataFrame:
     return every.select("source", "o.held.id", "o.held.size", "o.x")
 
 
+def words_in(text: Column) -> Column:
+    return F.size(white_words(text.cast("string"))).cast("bigint")
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 5) -> DataFrame:
     """One row for each row of ``docs``: id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
@@ -117,7 +121,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     no more than ``most`` times, rounded up. Null is a source of its own, the last. Rows of size 0 are taken 0 times. Repeated rows are
     rounded each by itself. An empty table gives an empty mix. Other columns of ``docs`` are not read.
     """
-    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(white_words(F.col(text_col).cast("string"))).cast("bigint").alias("size")), "sizes")
+    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "sizes")
     goal = saved(targets(sized, weights, share, most), "targets")
     rate = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).select(F.col("source").alias("of"), "source_size", "target", F.floor(F.col("rate") + 1e-12).alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + 1e-12)).alias("p"))
     parts = rounded(sized.where("size > 0").join(rate, sized["source"].eqNullSafe(rate["of"])).select("source", "id", "size", "p"), seed)

@@ -77,8 +77,8 @@ def _scan(k: int):
                 sig = np.zeros((len(size), 4 * TREES * DEPTH), np.uint8)
                 if len(values):
                     sig[size > 0] = _signatures(values, at).astype(">u4").view(np.uint8)
-                ids = batch.column(0).slice(block.first, block.last - block.first)
-                yield pa.record_batch([ids, _binary(digest, size == 0), pa.array(size, pa.int64()), _binary(sig, size == 0)], names=["id", "node", "n_shingles", "sig"])
+                ids, hashes = (batch.column(i).slice(block.first, block.last - block.first) for i in (0, 2))
+                yield pa.record_batch([ids, hashes, _binary(digest, size == 0), pa.array(size, pa.int64()), _binary(sig, size == 0)], names=["id", "text_hash", "node", "n_shingles", "sig"])
 
     return run
 
@@ -237,17 +237,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     return links, part, left.join(at_a, "a").join(at_b, "b").where("of_a <> of_b").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, keyed: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Words split at ASCII white space with A-Z lower-cased; a set holds the distinct ``k``-word shingles of the whole text, or its
     whole sequence where it has fewer words. Sets whose intersection is at least ``percent`` hundredths of their union are linked;
     ``component_id`` is the least id reachable and ``kept`` marks it. Texts without words (null, empty, blank) are linked with nothing
-    and are their own component. Rows with a null id take part: their component is the least id that is not null, or null.
+    and are their own component. ``keyed``: with ``text_hash``, the xxhash64 of the row's text. Rows with a null id take part: their component is the least id that is not null, or null.
     Repeated rows share a component; a repeated id is kept each time. Other columns of ``docs`` are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = saved(narrow.mapInArrow(_scan(k), f"id {narrow.schema['id'].dataType.simpleString()}, node binary, n_shingles long, sig binary"), "signatures")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    found = saved(narrow.mapInArrow(_scan(k), f"id {narrow.schema['id'].dataType.simpleString()}, text_hash long, node binary, n_shingles long, sig binary"), "signatures")
     # Equal sets have equal signatures: one of each goes on.
     groups = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = saved(groups, "nodes")
@@ -262,6 +262,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(saved(_confirmed(left.unionByName(wide), sets, percent), "links"))
     of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    out = found.select("id", "node", "n_shingles").join(named, "node", "left")
+    out = found.select("id", "text_hash", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *(["text_hash"] if keyed else []), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -164,6 +164,23 @@ def _score(model: Model):
     return run
 
 
+def _append_score(model: Model, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _score(model)
+        for batch in batches:
+            texts = batch.column(text_at)
+            found = [b.column(1) for b in score(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), texts], names=["id", "text"])]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(found) if found else pa.array([], pa.float64())], names=[*batch.schema.names, "__score"])
+
+    return run
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__score``: for a filter of rows, without a join back to them."""
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
+    return docs.mapInArrow(_append_score(model, docs.columns.index(text_col)), f"{schema}, __score double")
+
+
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id and ``score``, the probability (0 to 1) that its quality is 1.
 
