@@ -106,11 +106,11 @@ def alert_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.matched(next_, subs, sent, CHILDREN)
 
 
-@query(f"""{_T}, q AS (SELECT 'tenders_live' AS part, 1 AS priority, 8 AS weight, fetched_at AS at, tender_id AS key FROM tenders WHERE status = 'Live'
+@query(f"""{_T}, q AS (SELECT 'tenders_live' AS part, 1 AS priority, 8 AS weight, fetched_at AS stamp, tender_id AS key FROM tenders WHERE status = 'Live'
 UNION ALL SELECT 'procuring_entities', 3, 2, NULL, CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'bidders', 4, 2, NULL, CAST(s_suppkey AS VARCHAR) FROM supplier
 UNION ALL SELECT 'tenders_backlog', 5, 8, fetched_at, tender_id FROM tenders WHERE status <> 'Live')
 SELECT part, key, CAST(sum(weight) OVER w AS BIGINT) AS cost, sum(weight) OVER w <= 60000 AS taken FROM q
-WINDOW w AS (ORDER BY priority, part, at NULLS FIRST, key ROWS UNBOUNDED PRECEDING)""")
+WINDOW w AS (ORDER BY priority, part, stamp NULLS FIRST, key ROWS UNBOUNDED PRECEDING)""")
 def budgeted_load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tenders(spark, sf_dir)
     part = lambda df, name, priority, weight, at, key: df.select(F.lit(name).alias("part"), F.lit(priority).alias("priority"), F.lit(weight).alias("weight"), at.alias("at"), key.cast("string").alias("key"))

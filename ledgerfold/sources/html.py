@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,59 +14,49 @@ from ledgerfold.functions import scalars as S
 
 #: Marks around a hidden id within a cell's text.
 MARK = "\x00"
-NOTE = r"(?i)corrigendum|amend|cancel|re-?tender|extension"
+NOTE = r"(?i)Corrigendum|Amendment"
 DATE = r"\d{2}-[A-Za-z]{3}-\d{4} \d{2}:\d{2}"
 
 
-class _Cells(HTMLParser):
-    """Rows of cells; br and p break lines, a hidden input called id leaves a mark, other hidden inputs are kept."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list[str]] = []
-        self.hidden: dict[str, str] = {}
-        self._cell: list[str] | None = None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        at = dict(attrs)
-        if tag == "tr":
-            self.rows.append([])
-        elif tag == "td":
-            self._close()
-            self._cell = []
-        elif tag in ("br", "p") and self._cell is not None:
-            self._cell.append("\n")
-        elif tag == "input" and (at.get("type") or "").lower() == "hidden":
-            name, value = at.get("name") or at.get("id") or "", at.get("value") or ""
-            self.hidden[name] = value
-            if self._cell is not None and "id" in name.lower():
-                self._cell.append(f"{MARK}id={value}{MARK}")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "tr"):
-            self._close()
-
-    def handle_data(self, data: str) -> None:
-        if self._cell is not None:
-            self._cell.append(data)
-
-    def _close(self) -> None:
-        if self._cell is not None:
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append("".join(self._cell))
-            self._cell = None
+#: A tag (closing slash, name, attributes) or the text between tags.
+TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?-->|<![^>]*>|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+
+
+def table_cells(page: str) -> tuple[list[list[str]], dict[str, str]]:
+    """Texts of the cells of each table row, and values of hidden inputs by id.
+
+    br and p break lines within a cell; a hidden input named id leaves a mark there.
+    """
+    rows: list[list[str]] = []
+    hidden: dict[str, str] = {}
+    cell: list[str] | None = None
+    for closing, name, rest, text in TOKEN.findall(page):
+        name = name.lower()
+        if text and cell is not None:
+            cell.append(unescape(text))
+        elif name in ("td", "tr"):
+            if cell is not None:
+                rows[-1].append("".join(cell))
+            cell = [] if name == "td" and not closing and rows else None
+            if name == "tr" and not closing:
+                rows.append([])
+        elif name in ("br", "p") and not closing and cell is not None:
+            cell.append("\n")
+        elif name == "input":
+            at = {k.lower(): unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(rest)}
+            if at.get("type", "").lower() == "hidden":
+                if at.get("id"):
+                    hidden[at["id"]] = at.get("value", "")
+                if at.get("name") == "id" and cell is not None:
+                    cell.append(f"{MARK}id={at.get('value', '')}{MARK}")
+    return [r for r in rows if r], hidden
 
 
 @F.pandas_udf(T.StructType([T.StructField("cells", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("total", T.StringType())]))
 def tokenized(pages: pd.Series) -> pd.DataFrame:
-    out = []
-    for page in pages:
-        parser = _Cells()
-        parser.feed(page or "")
-        parser.close()
-        out.append(([r for r in parser.rows if r], parser.hidden.get("totalPages")))
-    return pd.DataFrame(out, columns=["cells", "total"])
+    found = [table_cells(page or "") for page in pages]
+    return pd.DataFrame([(rows, hidden.get("totalPages")) for rows, hidden in found], columns=["cells", "total"])
 
 
 def lines(cell: Column) -> Column:
@@ -138,7 +129,7 @@ def detail_fields(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return found.select(
         *keep, digits(at("Tender/Proposal ID")).alias("tender_id"), at("Ministry").alias("ministry"), at("Procuring Entity Name").alias("procuring_entity"), at("Procuring Entity District").alias("procuring_entity_district"),
         at("Procurement Nature").alias("nature"), at("Procurement Method").alias("method"), at("Budget Type").alias("budget_type"), at("Source of Funds").alias("source_of_funds"), digits(at("App ID")).alias("app_id"),
-        F.filter(F.transform(F.split(at("Category"), ";"), F.btrim), lambda x: x != "").alias("categories"), S.parse_datetime(at("Tender/Proposal Closing Date and Time")).alias("closing_at"),
+        F.filter(F.transform(F.split(at("Category"), ";"), lambda x: F.btrim(x)), lambda x: x != "").alias("categories"), S.parse_datetime(at("Tender/Proposal Closing Date and Time")).alias("closing_at"),
         S.parse_int(at("Tender/Proposal Document Price (In BDT)")).alias("document_price_bdt"), "security_bdt", brief.alias("brief"),
     )
 
