@@ -22,7 +22,7 @@ from ledgerfold.llm import kernel
 from ledgerfold.llm.store import freed, saved
 
 TREES, DEPTH, SKETCH = 16, 6, 96
-WINDOW, WIDE = 16, 24
+WINDOW, WIDE = 16, 12
 #: Least share of equal sketch bytes: three and a half standard deviations below a likeness of 0.8.
 ALIKE = 0.66
 #: Rounds that confirm each component's best pair only; after them, every pair left is confirmed.
