@@ -18,7 +18,7 @@ from ledgerfold.llm import kernel
 from ledgerfold.llm.store import bounded_sample
 
 #: Bound of the labelled sample that is fitted.
-FIT_ROWS, FIT_CHARS = 20_000, 40_000_000
+FIT_ROWS, FIT_CHARS = 12_000, 24_000_000
 BUCKETS = 1 << 16
 #: Most that one word may speak against a language, and what a switch costs, both in nats.
 WORD_LIMIT, SWITCH = 6.0, 18.0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import bounded_sample
+from ledgerfold.llm.store import labelled_sample
 
 #: Bound of the labelled sample that is fitted.
 FIT_ROWS, FIT_CHARS = 10_000, 20_000_000
@@ -120,9 +120,7 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     """Learns from labelled documents (0 or 1); a bounded sample of them, by a hash of the key."""
-    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null").dropDuplicates(["key"])
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(marks, "key")
-    table = bounded_sample(rows, F.col("key"), F.col("text"), FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
+    table = labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
     y, texts = table.column("y").to_numpy().astype(np.float64), table.column("text").combine_chunks()
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     own = _index_vectors()

@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import bounded_sample
+from ledgerfold.llm.store import labelled_sample
 
 #: Bound of the labelled sample that is fitted.
-FIT_ROWS, FIT_CHARS = 20_000, 40_000_000
+FIT_ROWS, FIT_CHARS = 16_000, 30_000_000
 BUCKETS = 1 << 20
 #: A word's prefixes of so many bytes are features too, for forms that were never seen.
 PREFIXES = (4, 5, 6)
 #: A feature takes part if it is in so many toxic documents and so much likelier there.
-LEAST_TOXIC, LEAST_LIFT = 4, 3.0
+LEAST_TOXIC, LEAST_LIFT = 3, 3.0
 EPOCHS, RATE, L2 = 300, 0.2, 2e-4
 #: Least sentence probability that ``offending`` names.
 OFFENDING = 0.2
@@ -88,14 +88,13 @@ def _noisy_or(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Learns from labelled documents (0 or 1); a bounded sample of them, by a hash of the key."""
-    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null").dropDuplicates(["key"])
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(marks, "key")
-    table = bounded_sample(rows, F.col("key"), F.col("text"), FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
+    table = labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
     y, texts = table.column("y").to_numpy().astype(np.float64), table.column("text").combine_chunks()
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     toxic, other = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    parsed = [(b.first, b.last, _parse(b)) for b in kernel.blocks(texts)]
-    for first, last, p in parsed:
+    # Texts are parsed twice, so that only features that take part are held.
+    for block in kernel.blocks(texts):
+        first, last, p = block.first, block.last, _parse(block)
         pairs = np.unique(p.text[p.of_feature] * np.int64(BUCKETS) + p.bucket)
         is_toxic = y[first:last][pairs // BUCKETS] == 1
         toxic += np.bincount(pairs[is_toxic] % BUCKETS, minlength=BUCKETS).astype(np.int32)
@@ -105,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     slots = np.full(BUCKETS, -1, np.int32)
     slots[kept] = np.arange(len(kept))
     feature, owner, text_of, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for first, _, p in parsed:
+    for block in kernel.blocks(texts):
+        first, p = block.first, _parse(block)
         slot = slots[p.bucket]
         pick = np.flatnonzero(slot >= 0)
         pair = np.unique(p.of_feature[pick] * np.int64(len(kept) + 1) + slot[pick])
