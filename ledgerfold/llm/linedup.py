@@ -91,13 +91,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = keyed.mapInArrow(_hashed, f"h1 long, h2 long, id {keyed.schema['id'].dataType.simpleString()}, text_hash long, at int")
     repeated = windows.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     met = saved(windows.join(repeated, "h1", "left_semi"), "repeats")
-    place = F.struct("id", "text_hash", "at")
-    first = met.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    later = met.join(first, ["h1", "h2"]).where(place > F.col("first")).select("id", "text_hash", "at")
-    listed = later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("__starts")).withColumnRenamed("id", "__id").withColumnRenamed("text_hash", "__of")
-    copies = Window.partitionBy("__id0", "__hash").orderBy(F.lit(0))
-    numbered = docs.withColumn("__id0", F.col(id_col)).withColumn("__hash", F.xxhash64(F.col(text_col).cast("string"))).withColumn("__copy", F.row_number().over(copies))
-    joined = numbered.join(listed, numbered["__id0"].eqNullSafe(listed["__id"]) & (numbered["__hash"] == listed["__of"]), "left")
+    placed = met.withColumn("place", F.struct("id", "text_hash", "at"))
+    first = placed.groupBy("h1", "h2").agg(F.min("place").alias("place"))
+    # All but the first are those not among the firsts: joined by place too, so that a frequent window stays dealt out.
+    later = placed.join(first, ["h1", "h2", "place"], "left_anti").select("id", "text_hash", "at")
+    listed = later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("__starts"))
+    # One key for the numbering and the join (a struct, so that null ids meet too): texts move once.
+    listed = listed.select(F.struct(F.col("id").alias("id"), F.col("text_hash").alias("of")).alias("__key"), "__starts")
+    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("of")))
+    joined = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))).join(listed, "__key", "left")
     kinds = dict(docs.dtypes) | {text_col: "string"}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns)
     return joined.select(*docs.columns, "__starts", "__copy").mapInArrow(_cut(docs.columns.index(text_col)), f"{schema}, n_lines long, n_removed long")
