@@ -126,7 +126,7 @@ def with_next(docs: DataFrame, order: str, tie: str, carried: list[str]) -> Data
     span = F.least(F.size(F.filter(F.lit(points[1:] or points), lambda c: c > value)), F.lit(spans - 1))
     top, bottom = (F.get(F.lit([float(x) for x in side]), span) for side in (high, low))
     part = F.floor((top - value.cast("double")) / (top - bottom + 1) * parts)
-    block = F.coalesce(span * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)), F.lit(spans * parts)).cast("int")
+    block = F.when(value.isNull(), F.lit(spans * parts)).otherwise(span * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))).cast("int")
     dealt = docs.withColumn("__block", block)
     # One row for each block: at most CUTS * PARTS + 1 = 65,537.
     heads = dealt.groupBy("__block").agg(F.max(order).alias("__head"), F.lit(1).alias("__one"))

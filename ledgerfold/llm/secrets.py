@@ -89,9 +89,8 @@ def linked(strict: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Spa
     if not weak or len({ROLE[s.kind] for s in parts}) < 2:
         return []
     keep: set[Span] = set()
-    # The furthest end of each role so far (for partners before), and the nearest start (for partners after).
-    for ordered, gap in ((parts, lambda s, edge: s.start - edge), (sorted(parts, key=lambda s: -s.end), lambda s, edge: edge - s.end)):
-        forward = ordered is parts
+    # The furthest end of each role that began before, and the nearest start of those that begin after.
+    for forward, ordered, gap in ((True, parts, lambda s, edge: s.start - edge), (False, parts[::-1], lambda s, edge: edge - s.end)):
         edge: dict[str, int] = {}
         for s in ordered:
             role = ROLE[s.kind]
