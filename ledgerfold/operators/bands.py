@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerfold.operators import ranks
+
 COVERAGE = 0.80
 LOW, HIGH = (1 - COVERAGE) / 2, 1 - (1 - COVERAGE) / 2
 #: Award over security that is believable; rows a method needs for its own median; weight of the fallback in a buyer's.
@@ -22,33 +24,11 @@ def plausible(lakh: Column, security_lakh: Column) -> Column:
     return F.coalesce(F.try_divide(lakh, security_lakh).between(RATIO_LOW, RATIO_HIGH), F.lit(False))
 
 
-def level_quantile(value: Column, q: float, n: Column) -> Column:
-    """Exact quantile at the finite-sample level q (n + 1) / n; ``n`` is a literal or constant of the group: see ``banded``."""
-    return F.percentile(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), q * (n + 1) / n)))
-
-
-def quantile_of_sorted(values: Column, level: Column) -> Column:
-    """Linear quantile of a sorted array at a level that may differ from row to row."""
-    place = level * (F.size(values) - 1)
-    low = F.floor(place).cast("int")
-    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
-    return a + (b - a) * (place - low)
-
-
 def banded(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """(groups, n, centre, lo, hi): median and finite-sample quantiles of ``value``, by rank within the group.
-
-    Ranks and a grouped interpolation: no group is gathered into one row.
-    """
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    levels = {"centre": F.lit(0.5), "lo": F.greatest(F.lit(0.0), LOW * (F.col("__n") + 1) / F.col("__n")), "hi": F.least(F.lit(1.0), HIGH * (F.col("__n") + 1) / F.col("__n"))}
-    aggs = []
-    for name, level in levels.items():
-        place = level * (F.col("__n") - 1)
-        weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("__i") - place))
-        aggs.append(F.sum(weight * F.col(value)).alias(name))
-    return ranked.groupBy(*groups).agg(F.max("__n").alias("n"), *aggs)
+    """(groups, n, centre, lo, hi): median and finite-sample quantiles of ``value``."""
+    n = F.col("__n")
+    levels = {"centre": F.lit(0.5), "lo": F.greatest(F.lit(0.0), LOW * (n + 1) / n), "hi": F.least(F.lit(1.0), HIGH * (n + 1) / n)}
+    return ranks.quantiles(df, groups, value, levels)
 
 
 def security_fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -120,12 +100,9 @@ def plan_gate(tested: int, error: float | None, coverage: float | None, rival: f
 
 
 def conformal_pad(scores: DataFrame, groups: list[str], value: str = "score") -> DataFrame:
-    """(groups, n, pad): the quantile of scores at ceil((n + 1) 0.8) / n, by rank."""
-    w = Window.partitionBy(*groups)
-    ranked = scores.withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    level = F.least(F.lit(1.0), F.ceil((F.col("__n") + 1) * COVERAGE) / F.col("__n"))
-    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("__i") - level * (F.col("__n") - 1)))
-    return ranked.groupBy(*groups).agg(F.max("__n").alias("n"), F.sum(weight * F.col(value)).alias("pad"))
+    """(groups, n, pad): the quantile of scores at ceil((n + 1) 0.8) / n."""
+    n = F.col("__n")
+    return ranks.quantiles(scores, groups, value, {"pad": F.least(F.lit(1.0), F.ceil((n + 1) * COVERAGE) / n)})
 
 
 def expanding_prior(rows: DataFrame, keys: list[str], value: str, order: list[str], grand: float, smooth: float = 5.0) -> DataFrame:

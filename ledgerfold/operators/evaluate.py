@@ -43,16 +43,6 @@ def staleness(rows: DataFrame, days: str) -> DataFrame:
     return coverage_by(rows.withColumn("age", bucket), ["age"], BUCKET_ROWS)
 
 
-def accuracy_curve(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` (conf, correct) with ``kept``, ``total``, ``running``: accuracy if only these and more confident ones are answered.
-
-    Equal confidences are told apart by ``order``. Counts by confidence come first, so the running sum goes over distinct values.
-    """
-    w = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    kept = F.count(F.lit(1)).over(w)
-    return rows.withColumn("kept", kept).withColumn("right", F.sum(F.col("correct").cast("long")).over(w)).withColumn("running", F.col("right") / F.col("kept"))
-
-
 def curve_by_confidence(rows: DataFrame) -> DataFrame:
     """(conf, kept, right, total): running counts from the most confident down, by distinct confidence."""
     counts = rows.groupBy("conf").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("correct").cast("long")).alias("r"))
@@ -112,3 +102,44 @@ def run_noise(runs: DataFrame, order: str = "run") -> DataFrame:
     first, last = F.min_by("value", order), F.max_by("value", order)
     out = middle.groupBy("figure").agg(F.count(F.lit(1)).alias("runs"), r(first, "first"), r(last, "last"), r(F.min("value"), "min"), r(F.max("value"), "max"), r(F.max("value") - F.min("value"), "spread"), r(F.max("typical"), "typical_step"), r(F.max("step"), "largest_step"), r(last - first, "net_change"))
     return out.where("runs >= 3")
+
+
+def live_mix(live: DataFrame) -> DataFrame:
+    """(method, n, share, without): each method's share of the live rows that publish no security, and how many that is."""
+    without = F.coalesce(F.col("security_bdt"), F.lit(0.0)) <= 0
+    per = live.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(without).alias("without"))
+    total = F.sum("without").over(Window.partitionBy(F.lit(1)))
+    return per.select("method", "n", "without", F.round(F.col("without") / total, 4).alias("share"))
+
+
+def security_share(live: DataFrame) -> DataFrame:
+    """One row: live rows, and the share of them that publish a security."""
+    return live.agg(F.count(F.lit(1)).alias("live"), F.round(F.avg((F.coalesce(F.col("security_bdt"), F.lit(0.0)) > 0).cast("double")), 4).alias("share"))
+
+
+def projected(figures: DataFrame, mix: DataFrame) -> DataFrame:
+    """(coverage, mape, width) expected on the live mix: figures of each method weighed by its share; methods without figures count not."""
+    joined = mix.join(figures, "method")
+    weighed = lambda c: F.round(F.sum(F.col(c) * F.col("share")) / F.sum("share"), 4).alias(c)
+    return joined.agg(weighed("coverage"), weighed("mape"), weighed("width"))
+
+
+def held_out_bar(rows: DataFrame, key: str, target: float) -> DataFrame:
+    """(half, bar, accuracy, deferral): the bar from one half of the keys, the figures from the other, both ways round.
+
+    Halves are of keys, not of predictions; a half on which no bar reaches the target has none.
+    """
+    halved = rows.withColumn("half", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(2)).cast("int"))
+    counts = halved.groupBy("half", "conf").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("correct").cast("long")).alias("r"))
+    w = Window.partitionBy("half").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumn("kept", F.sum("k").over(w)).withColumn("right", F.sum("r").over(w))
+    bars = running.where(F.col("right") / F.col("kept") >= target).groupBy("half").agg(F.min("conf").alias("bar"))
+    other = halved.withColumn("half", 1 - F.col("half")).join(F.broadcast(bars), "half")  # two rows
+    acted = F.col("conf") >= F.col("bar")
+    return other.groupBy("half", "bar").agg(F.round(F.avg(F.when(acted, F.col("correct").cast("double"))), 4).alias("accuracy"), F.round(1 - F.avg(acted.cast("double")), 4).alias("deferral"))
+
+
+def task_progress(tasks: DataFrame) -> DataFrame:
+    """One row: weight done and in all, and its share."""
+    done = F.sum(F.when(F.col("done"), F.col("weight")).otherwise(0))
+    return tasks.agg(done.alias("done"), F.sum("weight").alias("total"), F.round(done / F.sum("weight"), 4).alias("share"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerfold.functions import names as N
 from ledgerfold.functions.scalars import entity_id
+from ledgerfold.operators.ranks import cut
 
 MERGE, REVIEW = 0.85, 0.60
 #: A block of more names is divided by their second word.
@@ -17,17 +16,6 @@ MAX_BLOCK = 4000
 GRAMS = (2, 3, 4)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; a temporary one where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None and context.master.startswith("local"):
-            at = tempfile.mkdtemp(prefix="ledgerfold-")
-        context.setCheckpointDir(at or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def char_grams(word: Column) -> Column:
     """Runs of 2 to 4 characters of a word with a space on each side; a shorter padded word is a run itself, once."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
@@ -64,13 +52,13 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
 
     Labels pass along edges as grouped minima and jump to the label of their label; lineage is cut each round.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(nodes.select(F.col(node), F.col(node).alias("component")))
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(nodes.select(F.col(node), F.col(node).alias("component")))
     while True:
         heard = both.join(labels, both["b"] == labels[node]).groupBy("a").agg(F.min("component").alias("heard"))
         low = labels.join(heard, labels[node] == heard["a"], "left").select(node, F.least("component", F.coalesce("heard", "component")).alias("component"))
         jumped = low.alias("x").join(low.select(F.col(node).alias("at"), F.col("component").alias("further")).alias("y"), F.col("x.component") == F.col("y.at")).select(F.col(f"x.{node}").alias(node), F.col("y.further").alias("component"))
-        after = _cut(jumped)
+        after = cut(jumped)
         if not after.join(labels.withColumnRenamed("component", "was"), node).where("component <> was").limit(1).count():
             return after
         labels = after
@@ -109,8 +97,8 @@ def resolve(counts: DataFrame, decided: DataFrame | None = None, merge: float =
     spark = counts.sparkSession
     decided = decided if decided is not None else spark.createDataFrame([], "a string, b string, decision string")
     normed = counts.select("name", "n_rows", N.normalize_name(F.col("name")).alias("norm"))
-    normed = _cut(normed)
-    pairs = _cut(split_pairs(similar_pairs(blocks(normed), review), decided, merge))
+    normed = cut(normed)
+    pairs = cut(split_pairs(similar_pairs(blocks(normed), review), decided, merge))
     merged = decided.where("decision = 'merge'").select("a", "b").unionByName(pairs.where("verdict = 'merge'").select("a", "b")).distinct()
     parts = components(normed.select(F.col("norm").alias("node")).where("node <> ''").distinct(), merged)
     placed = normed.join(parts, normed["norm"] == parts["node"], "left")

@@ -136,3 +136,18 @@ def write_clean(df: DataFrame, root: str, name: str) -> None:
 def read_clean(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
     path = f"{root}/clean/{name}.parquet"
     return conformed(spark.read.parquet(path), schema) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def seeded_pick(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows in an order that follows from the seed: by CRC of seed and key, equal ones by key."""
+    return df.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key).limit(n)
+
+
+def newest_id(df: DataFrame, key: str = "tender_id") -> Column:
+    """Aggregate: the greatest id as a number, blank ones as 0."""
+    return F.max(F.coalesce(F.col(key).try_cast("bigint"), F.lit(0)))
+
+
+def last_runs(runs: DataFrame, stamp_col: str, n: int) -> DataFrame:
+    """The newest ``n`` distinct runs, oldest first."""
+    return latest_per_key(runs, [stamp_col], [F.to_json(F.struct(*runs.columns))]).orderBy(F.desc(stamp_col)).limit(n).orderBy(stamp_col)
