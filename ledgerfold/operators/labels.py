@@ -28,6 +28,25 @@ def code_list(rows: DataFrame, code: str = "code", label: str = "label") -> Data
     return rows.select(F.explode(names).alias("label"), code).select(F.lower(F.btrim("label")).alias("label"), code).dropDuplicates(["label"])
 
 
+def tag_codes(tags: DataFrame, codes: DataFrame, wordings: dict[str, str], old_picks: dict[str, list[str]], key: str = "tender_id") -> DataFrame:
+    """(key, code) of portal tags (key, tag): by the official list (label, code), then by older wordings.
+
+    Where a key has a tag that begins like one of ``old_picks``, codes with its prefixes are left out.
+    """
+    spark = tags.sparkSession
+    folded = tags.where("tag is not null").select(key, folded_tag(F.col("tag")).alias("label")).distinct()
+    official = code_list(codes.withColumn("label", folded_tag(F.col("label"))))
+    older = spark.createDataFrame([(k, v) for k, v in wordings.items()], "label string, old string")
+    found = folded.join(official, "label", "left").join(older, "label", "left").select(key, F.coalesce("code", "old").alias("code")).where("code is not null")
+    picks = spark.createDataFrame([(root, p) for root, ps in old_picks.items() for p in ps], "root string, prefix string")
+    silenced = folded.join(F.broadcast(picks), F.col("label").startswith(F.col("root"))).select(F.col(key).alias("__k"), "prefix").distinct()
+    return found.join(silenced, (F.col(key) == F.col("__k")) & F.col("code").startswith(F.col("prefix")), "left_anti")
+
+
+def folded_tag(tag: Column) -> Column:
+    return F.regexp_replace(F.lower(F.btrim(F.regexp_replace(tag, r"\s+", " "))), r"\.+$", "")
+
+
 def winners(votes: DataFrame, key: str, choice: str = "choice", n: str = "n") -> DataFrame:
     """(key, choice, margin): the choice with most votes, unless another has as many or it has less than half."""
     w = Window.partitionBy(key)
@@ -35,12 +54,13 @@ def winners(votes: DataFrame, key: str, choice: str = "choice", n: str = "n") ->
     return placed.where((F.col("__place") == 1) & (F.col(n) > F.col("__next")) & (F.col(n) / F.col("__all") >= 0.5)).select(key, choice, (F.col(n) - F.col("__next")).alias("margin"))
 
 
-def code_vote(tags: DataFrame, prefixes: DataFrame, divisions: DataFrame, sectors: DataFrame, key: str = "tender_id", twins: tuple[str, str] = ("50", "51")) -> DataFrame:
+def code_vote(tags: DataFrame, prefixes: DataFrame, divisions: DataFrame, sectors: DataFrame, key: str = "tender_id", twins: tuple[str, str] = ("50", "51"), typed: tuple[str, ...] = ("construction",)) -> DataFrame:
     """(key, sector, category, margin, codes) of each key's codes.
 
     ``tags``: (key, code). ``divisions``: (division, groups, sector): how many groups of four digits it has, and its sector or null.
     ``prefixes``: (prefix, category); ``sectors``: (category, sector) of fine categories. A division that is ticked whole votes for its
-    sector once for each code; the two twin divisions count as ticked whole together. Silent codes do not vote.
+    sector once for each code; the two twin divisions count as ticked whole together. Silent codes do not vote. A sector in ``typed`` has
+    categories of its own, which are left open where one of its divisions was ticked whole; other sectors are their own category.
     """
     codes = tags.where("code is not null and code <> ''").select(key, "code").distinct().withColumn("division", F.left("code", F.lit(2)))
     ticked = codes.groupBy(key, "division").agg(F.countDistinct(F.left("code", F.lit(4))).alias("ticked"))
@@ -57,7 +77,7 @@ def code_vote(tags: DataFrame, prefixes: DataFrame, divisions: DataFrame, sector
     blurred = whole.where("whole").select(key, F.col("of_division").alias("sector")).distinct().withColumn("blurred", F.lit(True))
     counted = codes.groupBy(key).agg(F.count(F.lit(1)).alias("codes"))
     out = counted.join(top, key, "left").join(fine, key, "left").join(blurred, [key, "sector"], "left")
-    return out.select(key, "sector", F.when(F.col("blurred").isNull(), F.col("category")).alias("category"), F.coalesce("margin", F.lit(0)).alias("margin"), "codes")
+    return out.select(key, "sector", F.when(~F.col("sector").isin(*typed), F.col("sector")).when(F.col("blurred").isNull(), F.col("category")).alias("category"), F.coalesce("margin", F.lit(0)).alias("margin"), "codes")
 
 
 def keyword_label(text: Column, keywords: dict[str, list[str]]) -> tuple[Column, Column]:

@@ -225,7 +225,7 @@ top AS (SELECT tender_id, sector, n, sum(n) OVER w AS whole, row_number() OVER o
 won AS (SELECT tender_id, sector, n - next AS margin FROM top WHERE place = 1 AND n > next AND n / whole >= 0.5),
 f AS (SELECT v.tender_id, category, count(*) AS n FROM v JOIN won ON v.tender_id = won.tender_id AND v.own = won.sector WHERE category IS NOT NULL GROUP BY 1, 2),
 ft AS (SELECT tender_id, category, n, sum(n) OVER w AS whole, row_number() OVER o AS place, lead(n, 1, 0) OVER o AS next FROM f WINDOW w AS (PARTITION BY tender_id), o AS (PARTITION BY tender_id ORDER BY n DESC, category))
-SELECT k.tender_id, won.sector, ft.category, coalesce(margin, 0) AS margin, k.codes FROM (SELECT tender_id, count(DISTINCT code) AS codes FROM tags GROUP BY 1) k LEFT JOIN won USING (tender_id)
+SELECT k.tender_id, won.sector, CASE WHEN won.sector = 'construction' THEN ft.category ELSE won.sector END AS category, coalesce(margin, 0) AS margin, k.codes FROM (SELECT tender_id, count(DISTINCT code) AS codes FROM tags GROUP BY 1) k LEFT JOIN won USING (tender_id)
 LEFT JOIN ft ON k.tender_id = ft.tender_id AND ft.place = 1 AND ft.n > ft.next AND ft.n / ft.whole >= 0.5""")
 def cpv_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, prefixes = _codes(spark, sf_dir)

@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import taxonomy
 from ledgerfold.operators import bands, classify, evaluate, labels, load, profiles, quality, resolve, serve
 
 
@@ -76,6 +77,16 @@ def test_code_vote(spark):
     assert got == {"one": ("construction", "buildings"), "tie": ("construction", None), "bare": ("construction", None), "silent": (None, None), "cloth": ("textiles", "textiles"), "whole": ("construction", None)}
 
 
+def test_taxonomy(spark):
+    codes = spark.createDataFrame([(f"45{i}10000", f"Work {i}") for i in range(1, 7)] + [("18100000", "Occupational clothing"), ("39110000", "Seats, chairs; and parts"), ("45233140", "Roadworks.")], "code string, label string")
+    tags = spark.createDataFrame([("a", "Seats,  chairs"), ("b", "roadworks"), ("c", "Computer hardware"), ("d", "Manufactured goods, furniture, handicrafts and more"), ("d", "seats, chairs"), ("e", "nonsense"), ("f", "Occupational clothing")], "tender_id string, tag string")
+    found = labels.tag_codes(tags, codes, taxonomy.WORDINGS, taxonomy.OLD_PICKS)
+    got = {r["tender_id"]: (r["sector"], r["category"]) for r in labels.code_vote(found, taxonomy.prefixes(spark), taxonomy.divisions(spark, codes), taxonomy.sectors(spark)).collect()}
+    assert got == {"a": ("furniture", "furniture"), "b": ("construction", "roads_bridges"), "c": ("it_equipment", "it_equipment"), "f": ("textiles_uniforms", "textiles_uniforms")}
+    label, margin = labels.keyword_label(F.lit("Supply of office chair and a table with computer"), taxonomy.IN_TITLES)
+    assert tuple(spark.range(1).select(label, margin).first()) == ("furniture", 1)
+
+
 def test_resolution(spark):
     counts = spark.createDataFrame([("M/S. Sawda Traders", 5), ("Sawda Traders", 3), ("SAWDA TRADERS.", 1), ("Rahim Enterprise", 2), ("Karim Brothers", 4), ("", 9)], "name string, n_rows long")
     named, entities, _ = resolve.resolve(counts)
