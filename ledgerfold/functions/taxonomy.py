@@ -128,6 +128,25 @@ NAMES = {
     "agriculture_environment": "Agriculture and environment",
 }
 
+#: Stems of subjects in portal tags; they name subjects, never actions.
+IN_TAGS = {
+    "roads_bridges": ["highway", "road", "bridge", "culvert", "pavement", "embankment", "bituminous", "flyover", "footpath", "asphalt"],
+    "buildings_civil": ["building", "brick", "cement", "concrete", "roofing", "plaster", "boundary wall", "school building", "hostel", "structural", "wood", "timber", "sawn", "carpentry", "tile", "glass", "paint", "sanitary ware", "construction material"],
+    "water_sanitation": ["water supply", "sanitation", "sewer", "drain", "tube well", "pipe", "pump", "latrine", "toilet", "water treatment", "irrigation", "water distribution"],
+    "electrical_power": ["electric", "transformer", "cable", "generator", "solar", "substation", "lighting", "conductor", "meter", "power distribution", "wiring", "switchgear", "battery", "energy"],
+    "it_equipment": ["computer", "software", "server", "laptop", "printer", "network", "hardware", "data-processing", "data processing", "scanner", "photocopy", "ict", "telecommunication", "camera", "information system"],
+    "office_supplies": ["stationery", "office supplies", "paper", "toner", "pen", "envelope", "office equipment", "office machinery", "consumable"],
+    "furniture": ["furniture", "chair", "seat", "table", "almirah", "cabinet", "shelv", "bed", "sofa", "desk", "handicraft"],
+    "medical": ["medical", "pharmaceutical", "medicine", "medicinal", "drug", "hospital", "surgical", "laboratory", "reagent", "diagnostic", "vaccine", "dental", "x-ray", "health", "orthopaedic", "anaesthe"],
+    "vehicles_transport": ["vehicle", "motor", "car", "bus", "truck", "ambulance", "motorcycle", "tyre", "spare parts", "boat", "vessel", "transport services", "petroleum", "fuel", "diesel", "lubricant", "oil and associated"],
+    "food_catering": ["food", "rice", "catering", "meal", "ration", "beverage", "sugar", "flour", "diet", "kitchen", "dairy", "fish product"],
+    "textiles_uniforms": ["textile", "uniform", "cloth", "garment", "fabric", "shoe", "footwear", "blanket", "bedding", "insignia", "yarn", "leather"],
+    "printing_media": ["printing", "publication", "book", "advertis", "media", "signboard", "banner", "binding", "newspaper", "broadcast"],
+    "security_cleaning_services": ["security service", "guard", "cleaning", "janitorial", "waste", "pest control", "gardening", "outsourc", "manpower", "laundry", "dry-cleaning", "washing", "sewage disposal"],
+    "consultancy": ["consultan", "advisory", "design services", "audit", "training services", "research services", "feasibility", "architectural", "engineering services"],
+    "agriculture_environment": ["agricultur", "seed", "fertili", "livestock", "fish", "forest", "tree", "plant", "veterinary", "poultry", "crop", "environment", "pesticide"],
+}
+
 #: Stems of subjects in titles.
 IN_TITLES = {
     "roads_bridges": ["road", "bridge", "culvert", "highway", "embankment", "carpeting", "hbb"],
