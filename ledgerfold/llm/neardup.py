@@ -3,10 +3,10 @@
 Each distinct shingle set gets a signature of ``trees x depth`` min-hashes. Every tree sorts the
 sets by its own ``depth`` values, so that sets with a long common prefix lie side by side; how
 deep two neighbours agree follows from how crowded their region of the order is. In each order a set
-proposes its most alike neighbour before it. Proposed pairs are confirmed on the full
+proposes its most alike neighbour. Proposed pairs are confirmed on the full
 sets and linked; the components of these links are the groups. The sets that took part are then sorted
-once more, each proposing all that lie near it in another group, so that no crowd of likelier
-neighbours hides a link.
+once more by finer sketches, each proposing several of a wider neighbourhood that are in another
+group, so that a crowd of neighbours just short of the bound does not hide a link.
 """
 
 from __future__ import annotations
@@ -22,14 +22,23 @@ from ledgerfold.llm import kernel
 from ledgerfold.llm.store import freed, saved
 
 TREES, DEPTH, SKETCH = 16, 6, 96
-WINDOW, WIDE = 16, 12
+#: Neighbours on each side that a row is compared with in each order, the second time more of them, and how many it then proposes.
+WINDOW, WIDE, KEPT = 16, 64, 4
 #: Least share of equal sketch bytes: three and a half standard deviations below a likeness of 0.8.
 ALIKE = 0.66
+#: Bytes of the sketch that the second look compares, and the like share of it, as far below.
+FINE, FINELY = 256, 0.715
 #: Rounds that confirm each component's best pair only; after them, every pair left is confirmed.
 BEST_ROUNDS = 2
 
-_ODD = kernel.mix(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_A, _B = (_ODD[: TREES * DEPTH] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_ODD[TREES * DEPTH :] >> np.uint64(32)).astype(np.uint32)
+
+def _functions(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` min-hash functions."""
+    drawn = kernel.mix(np.arange(first, first + 2 * n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return drawn[:n].astype(np.uint32) | np.uint32(1), drawn[n:].astype(np.uint32)
+
+
+_LABELS, _FINE = _functions(1, TREES * DEPTH), _functions(1_001, FINE)
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[kernel.Block, np.ndarray, np.ndarray]]:
@@ -49,15 +58,16 @@ def _digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _signatures(values: np.ndarray, at: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """uint32 min-hashes of the sets that have members, one row each."""
+    factors, summands = functions
     begin = at[:-1][np.diff(at) > 0]
     x = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(begin), TREES * DEPTH), np.uint32)
+    out = np.empty((len(begin), len(factors)), np.uint32)
     step = np.empty_like(x)
-    for j in range(TREES * DEPTH):
-        np.multiply(x, _A[j], out=step)
-        np.add(step, _B[j], out=step)
+    for j in range(len(factors)):
+        np.multiply(x, factors[j], out=step)
+        np.add(step, summands[j], out=step)
         out[:, j] = np.minimum.reduceat(step, begin)
     return out
 
@@ -76,7 +86,7 @@ def _scan(k: int):
                 size, digest = np.diff(at), _digests(values, at).view(np.uint8)
                 sig = np.zeros((len(size), 4 * TREES * DEPTH), np.uint8)
                 if len(values):
-                    sig[size > 0] = _signatures(values, at).astype(">u4").view(np.uint8)
+                    sig[size > 0] = _signatures(values, at, _LABELS).astype(">u4").view(np.uint8)
                 ids, hashes = (batch.column(i).slice(block.first, block.last - block.first) for i in (0, 2))
                 yield pa.record_batch([ids, hashes, _binary(digest, size == 0), pa.array(size, pa.int64()), _binary(sig, size == 0)], names=["id", "text_hash", "node", "n_shingles", "sig"])
 
@@ -90,7 +100,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         n = batch.num_rows
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, TREES, 4 * DEPTH)
-        sketch = _binary(sig.reshape(n, -1, 4)[:, :SKETCH, 3])
+        sketch = batch.column("fine") if "fine" in batch.schema.names else _binary(sig.reshape(n, -1, 4)[:, :SKETCH, 3])
         for t in range(TREES):
             yield pa.record_batch([pa.array(np.full(n, t), pa.int32()), _binary(sig[:, t]), *(batch.column(c) for c in ("node", "n_shingles", "component")), sketch], names=_ROW)
 
@@ -104,37 +114,34 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _neighbours(window: int, alike: float, percent: int, seams: bool, every: bool):
-    """Over sorted rows: of the neighbours before it with a common prefix and another component, each row's most alike one, or ``every`` one.
+def _neighbours(window: int, width: int, alike: float, percent: int, seams: bool, keep: int):
+    """Over sorted rows: each row's ``keep`` most alike ones of the neighbours on both sides that have a common prefix and another component.
 
     ``seams``: the first and last rows of the partition are given back too, to be joined with what lies beyond.
     """
 
     def best(rows: pa.Table, low: int) -> list[tuple[bytes, bytes, float]]:
-        """The proposals of the rows from ``low``."""
+        """The proposals of pairs whose later row is from ``low`` on; a row by the cut between two batches proposes in both."""
         n = rows.num_rows
         tree, size = rows["tree"].to_numpy(), rows["n_shingles"].to_numpy()
-        label, sketch = _matrix(rows["label"], 4 * DEPTH), _matrix(rows["sketch"], SKETCH)
+        label, sketch = _matrix(rows["label"], 4 * DEPTH), _matrix(rows["sketch"], width)
         lead = label[:, :4].copy().view(">u4")[:, 0].astype(np.int64) + (tree.astype(np.int64) << 32)
-        score, who, found = np.full(n, -1.0), np.zeros(n, np.int64), []
+        score, who, found = np.full((keep, n), -1.0), np.zeros((keep, n), np.int64), []
         nodes, group = rows["node"].combine_chunks(), _matrix(rows["component"], 16).copy().view("<u8")
-
-        def name(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> list[tuple[bytes, bytes, float]]:
-            ids = nodes.take(pa.array(np.concatenate([i, j]))).to_pylist()
-            return [(*sorted(p), x) for *p, x in zip(ids[: len(i)], ids[len(i) :], s.tolist(), strict=True)]
-
         for o in range(1, min(window, n - 1) + 1):
             i = np.flatnonzero((lead[o:] == lead[:-o]) & (group[o:] != group[:-o]).any(axis=1) & (100 * np.minimum(size[o:], size[:-o]) >= percent * np.maximum(size[o:], size[:-o]))) + o
             i = i[i >= low]
             s = (sketch[i] == sketch[i - o]).mean(axis=1)
             i, s = i[s >= alike], s[s >= alike]
-            if every:
-                found += name(i, i - o, s)
-            else:
-                up = s > score[i]
-                score[i[up]], who[i[up]] = s[up], i[up] - o
-        me = np.flatnonzero(score >= 0)
-        found += name(me, who[me], score[me])
+            for me, other in ((i, i - o), (i - o, i)):
+                # The least of those kept gives way.
+                slot = score[:, me].argmin(axis=0)
+                up = s > score[slot, me]
+                score[slot[up], me[up]], who[slot[up], me[up]] = s[up], other[up]
+        for k in range(keep):
+            me = np.flatnonzero(score[k] >= 0)
+            ids = nodes.take(pa.array(np.concatenate([me, who[k, me]]))).to_pylist()
+            found += [(*sorted(p), x) for *p, x in zip(ids[: len(me)], ids[len(me) :], score[k, me].tolist(), strict=True)]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,16 +170,18 @@ def _neighbours(window: int, alike: float, percent: int, seams: bool, every: boo
     return run
 
 
-def _pairs(nodes: DataFrame, percent: int, window: int, every: bool) -> DataFrame:
-    """(a, b, alike): the forest's candidates among ``nodes`` (node, n_shingles, component, sig), each once."""
-    grown = nodes.select("node", "n_shingles", "component", "sig").mapInArrow(_plant, _ROW_TYPES)
+def _pairs(nodes: DataFrame, percent: int, window: int, keep: int) -> DataFrame:
+    """(a, b, alike): the forest's candidates among ``nodes`` (node, n_shingles, component, sig, perhaps fine), each once."""
+    fine = [c for c in nodes.columns if c == "fine"]
+    look = (FINE, FINELY) if fine else (SKETCH, ALIKE)
+    grown = nodes.select("node", "n_shingles", "component", "sig", *fine).mapInArrow(_plant, _ROW_TYPES)
     # A range of labels is as deep a prefix as its region needs: crowded regions are cut finer.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "label", "node"]
-    near = saved(grown.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, ALIKE, percent, True, every), _PAIR), "forest")
+    near = saved(grown.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, *look, percent, True, keep), _PAIR), "forest")
     # Rows about the cuts: 2 x window for each partition.
     cuts = near.where("seam").select(*_ROW).dropDuplicates(order).repartition(1).sortWithinPartitions(*order)
-    joined = cuts.mapInArrow(_neighbours(2 * window, ALIKE, percent, False, every), _PAIR)
+    joined = cuts.mapInArrow(_neighbours(2 * window, *look, percent, False, keep), _PAIR)
     return near.where("not seam").unionByName(joined.where("not seam")).groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
@@ -206,7 +215,8 @@ def _full(k: int):
                 keep = pa.array(full)
                 sets = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))
                 wanted = batch.column(0).slice(block.first, block.last - block.first)
-                yield pa.record_batch([wanted.filter(keep), _binary(_digests(values, at).view(np.uint8)).filter(keep), sets.filter(keep)], names=["wanted", "node", "members"])
+                fine = _binary((_signatures(values, at, _FINE) & np.uint32(255)).astype(np.uint8) if full.any() else np.zeros((0, FINE), np.uint8))
+                yield pa.record_batch([wanted.filter(keep), _binary(_digests(values, at).view(np.uint8)).filter(keep), sets.filter(keep), fine], names=["wanted", "node", "members", "fine"])
 
     return run
 
@@ -251,14 +261,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets have equal signatures: one of each goes on.
     groups = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = saved(groups, "nodes")
-    pairs = saved(_pairs(nodes.withColumn("component", F.col("node")), percent, WINDOW, False), "pairs")
+    pairs = saved(_pairs(nodes.withColumn("component", F.col("node")), percent, WINDOW, 1), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     # Each wanted set once more from its text: by the id of one of its rows, then by what the row holds.
     rows = wanted.select(F.col("node").alias("wanted"), F.col("least").alias("least_id"))
     texts = narrow.join(rows, narrow["id"].eqNullSafe(rows["least_id"])).select("wanted", "text")
-    sets = saved(texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>").where("wanted = node").select("node", "members").dropDuplicates(["node"]), "sets")
+    sets = saved(texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>, fine binary").where("wanted = node").select("node", "members", "fine").dropDuplicates(["node"]), "sets")
     links, part, left = _linked(pairs, sets, percent)
-    wide = _pairs(wanted.join(part, "node"), percent, WIDE, True).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    wide = _pairs(wanted.join(part, "node").join(sets.select("node", "fine"), "node"), percent, WIDE, KEPT).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     links = links.unionByName(saved(_confirmed(left.unionByName(wide), sets, percent), "links"))
     of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
