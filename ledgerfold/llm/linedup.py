@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerfold.llm.store import saved
+from ledgerfold.llm.store import row_key, saved
 
 #: A line, with the newline that ends it; past 48 characters the end of a sentence ends one too. All lines together are the text.
 LINE = re.compile(r"[^\n]{48,}?[.!?]+[ \t]*\n?|[^\n]*\n|[^\n]+")
@@ -96,9 +96,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # All but the first are those not among the firsts: joined by place too, so that a frequent window stays dealt out.
     later = placed.join(first, ["h1", "h2", "place"], "left_anti").select("id", "text_hash", "at")
     listed = later.groupBy("id", "text_hash").agg(F.collect_set("at").alias("__starts"))
-    # One key for the numbering and the join (a struct, so that null ids meet too): texts move once.
-    listed = listed.select(F.struct(F.col("id").alias("id"), F.col("text_hash").alias("of")).alias("__key"), "__starts")
-    keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("of")))
+    listed = listed.select(row_key(F.col("id"), F.col("text_hash")).alias("__key"), "__starts")
+    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))))
     joined = keyed.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))).join(listed, "__key", "left")
     kinds = dict(docs.dtypes) | {text_col: "string"}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -45,6 +45,11 @@ def freed(df: DataFrame) -> None:
     jvm.System.gc()
 
 
+def row_key(*columns: Column) -> Column:
+    """One text for some values, nulls included: what numbering and a join can both deal rows out by, so that texts move once."""
+    return F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), {"ignoreNullFields": "false"})
+
+
 def fold(column, modulus: int):
     """crc32 of the column as text, modulo ``modulus``; null for null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
