@@ -7,24 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerfold.llm import decontam, linedup, mixing, neardup, quality
-from ledgerfold.llm.store import saved
+from ledgerfold.llm.store import row_key, saved
 
 #: Documents below this probability of being good are rejected.
 QUALITY_BAR = 0.3
 
 
-def _key(doc_id: Column, *rest: Column) -> Column:
-    """What decisions find rows by: a struct, so that null ids meet too, and numbering and joins deal rows out alike."""
-    return F.struct(doc_id.alias("id"), *(c.alias(f"of{i}") for i, c in enumerate(rest))).alias("__key")
-
-
 def _by_text(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", _key(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
+    return docs.withColumn("__key", row_key(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = neardup.near_duplicates(docs, keyed=True)
     # Texts of one id may be of several groups or of one: the least hash of each group and id stays, and one row of it.
     chosen = marked.where("kept").groupBy(F.col("doc_id").alias("__id"), F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("text_hash")).alias("__alone")).agg(F.min("text_hash").alias("__of"))
-    ids = saved(chosen.select(_key(F.col("__id"), F.col("__of"))), "kept")
+    ids = saved(chosen.select(row_key(F.col("__id"), F.col("__of")).alias("__key")), "kept")
     w = Window.partitionBy("__key").orderBy(F.lit(0))
     return _by_text(docs).join(ids, "__key").withColumn("__copy", F.row_number().over(w)).where("__copy = 1").select(*docs.columns)
 
@@ -54,16 +49,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keyed=True)
-    bad = saved(found.where("contaminated").select(_key(F.col("doc_id"), F.col("text_hash"))).distinct(), "contaminated")
+    bad = saved(found.where("contaminated").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("__key")).distinct(), "contaminated")
     return _by_text(docs).join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: the columns of ``documents`` and ``copy``, from 1; those taken 0 times go."""
-    taken = saved(mixing.mixture(docs).where("copies > 0").select(_key(F.col("doc_id"), F.col("source"), F.col("size")), "copies"), "taken")
+    taken = saved(mixing.mixture(docs).where("copies > 0").select(row_key(F.col("doc_id"), F.col("source"), F.col("size")).alias("__key"), "copies"), "taken")
     # Rows of one id, source and size are exchangeable: the decisions are dealt to them in order.
     dealt = taken.groupBy("__key").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    keyed = docs.withColumn("__key", _key(F.col("doc_id"), F.col("source"), mixing.words_in(F.col("text"))))
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("source"), mixing.words_in(F.col("text"))))
     met = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))).join(dealt, "__key")
     copies = F.get("__copies", F.col("__n") - 1)
     return met.where(copies.isNotNull()).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))
