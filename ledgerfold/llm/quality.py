@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import labelled_sample
+from ledgerfold.llm.store import labelled_sample, trimmed
 
 #: Bound of the labelled sample that is fitted.
-FIT_ROWS, FIT_CHARS = 10_000, 20_000_000
+FIT_ROWS, FIT_CHARS = 5_000, 10_000_000
 #: Terms share vectors beyond so many; dimensions, entries of an index vector that are not 0, neighbours on each side.
 TERMS, WIDTH, ENTRIES, REACH = 1 << 15, 48, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 0.01, 1e-4
@@ -123,9 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     table = labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
     y, texts = table.column("y").to_numpy().astype(np.float64), table.column("text").combine_chunks()
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    del table
     own = _index_vectors()
-    context, parsed = np.zeros((TERMS, WIDTH)), []
-    for block in kernel.blocks(texts):
+    context, parsed = np.zeros((TERMS, WIDTH), np.float32), []
+    for block in kernel.blocks(texts, kernel.BLOCK_BYTES // 4):
         term, of = _terms(block)
         parsed.append((term, of))
         text_of = np.repeat(np.arange(len(of) - 1), np.diff(of))
@@ -148,6 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     x = (x - mean) / spread
     held = np.arange(len(y)) % round(1 / CALIBRATION) == 0
     layers = _train(x[~held], y[~held])
+    del texts, parsed, context
+    trimmed()
     return Model(vectors, mean, spread, layers, _temperature(_forward(x[held], layers)[1], y[held]))
 
 

@@ -6,9 +6,12 @@ executor costs a reread and not a recomputation of everything before it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,16 @@ def freed(df: DataFrame) -> None:
     jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Gives memory of a fit on the driver back to the system: Arrow's pool and the allocator keep it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def row_key(*columns: Column) -> Column:
     """One text for some values, nulls included: what numbering and a join can both deal rows out by, so that texts move once."""
     return F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), {"ignoreNullFields": "false"})
