@@ -6,11 +6,13 @@ deep two neighbours agree follows from how crowded their region of the order is.
 proposes its most alike neighbour. Proposed pairs are confirmed on the full
 sets and linked; the components of these links are the groups. The sets that took part are then sorted
 once more by finer sketches, each proposing several of a wider neighbourhood that are in another
-group, so that a crowd of neighbours just short of the bound does not hide a link.
+group. Both looks only find links early: an exact join then compares all sets of different groups, so that no link is lost. Every set
+has its rarest shingles in it, as many as two sets at the bound cannot differ in all of.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,10 @@ ALIKE = 0.66
 FINE, FINELY = 256, 0.715
 #: Rounds that confirm each component's best pair only; after them, every pair left is confirmed.
 BEST_ROUNDS = 2
+#: Counters (a power of two) by which shingles are ordered from rare to frequent, the parts they are added up in, and pairs looked at in one step.
+COUNTERS, PARTS, STEP = 20, 256, 1 << 21
+#: Sets up to which their ids are sent to the texts, beyond, both are dealt out.
+FEW = 100_000
 
 
 def _functions(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +85,46 @@ def _binary(rows: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return made if null is None else pa.compute.if_else(pa.array(null), pa.scalar(None, pa.binary()), made)
 
 
-def _scan(k: int):
+def _counted(k: int):
+    """How many sets of the partition each counter's shingles are in, in ``PARTS`` parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for _, values, _ in _sets(batch.column(0), k):
+                table += np.bincount((values >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(table))
+        if table.any():
+            packed = [zlib.compress(part.tobytes(), 1) for part in table.reshape(PARTS, -1)]
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"].to_pylist())
+    return pa.table({"part": rows["part"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _levels(narrow: DataFrame, k: int) -> np.ndarray:
+    """A level for each counter, greater for more frequent ones. Any levels give the same pairs; these keep frequent shingles out of the join."""
+    counts = narrow.select("text").mapInArrow(_counted(k), "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary")
+    table = np.zeros((PARTS, (1 << COUNTERS) // PARTS), np.int64)
+    for part, packed in counts.collect():
+        table[part] = np.frombuffer(zlib.decompress(packed), np.int64)
+    return (1024 * np.log2(1 + table.ravel())).astype(np.uint16)
+
+
+def _rarest(values: np.ndarray, at: np.ndarray, levels: np.ndarray, percent: int) -> list[bytes | None]:
+    """For each set its rarest shingles in order: two sets at the bound have one of them in common."""
+    key = (levels[values >> np.uint64(64 - COUNTERS)].astype(np.uint64) << np.uint64(48)) | (values & np.uint64((1 << 48) - 1))
+    out = []
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        n = j - i - -(-percent * (j - i) // 100) + 1
+        out.append(np.sort(np.partition(key[i:j], min(n, j - i - 1))[:n]).tobytes() if j > i else None)
+    return out
+
+
+def _scan(k: int, percent: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, values, at in _sets(batch.column(1), k):
@@ -88,7 +133,7 @@ def _scan(k: int):
                 if len(values):
                     sig[size > 0] = _signatures(values, at, _LABELS).astype(">u4").view(np.uint8)
                 ids, hashes = (batch.column(i).slice(block.first, block.last - block.first) for i in (0, 2))
-                yield pa.record_batch([ids, hashes, _binary(digest, size == 0), pa.array(size, pa.int64()), _binary(sig, size == 0)], names=["id", "text_hash", "node", "n_shingles", "sig"])
+                yield pa.record_batch([ids, hashes, _binary(digest, size == 0), pa.array(size, pa.int64()), _binary(sig, size == 0), pa.array(_rarest(values, at, levels, percent), pa.binary())], names=["id", "text_hash", "node", "n_shingles", "sig", "rare"])
 
     return run
 
@@ -221,6 +266,70 @@ def _full(k: int):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set once for every one of its rarest shingles, with the place of that one."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 256):
+            rows = batch.slice(first, 256)
+            keys = [np.frombuffer(x, np.int64) for x in rows.column("rare").to_pylist()]
+            n = np.array([len(x) for x in keys])
+            places = np.concatenate([np.arange(x) for x in n])
+            short, of, size = (np.repeat(rows.column(c).to_numpy(), n) for c in ("short", "of", "n_shingles"))
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(of), pa.array(short), pa.array(size), pa.array(places)], names=_MET)
+
+
+_MET = ["key", "of", "short", "n_shingles", "place"]
+
+
+def _met(percent: int):
+    """Over rows sorted by key and component: all pairs of one key and different components that may still be at the bound.
+
+    Of the shingles that two sets share none comes before the first that both have, so from there on the smaller rest bounds
+    their intersection. Other shared ones may fail this; the first of a pair at the bound does not.
+    """
+
+    def pairs(key: np.ndarray, of: np.ndarray, short: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, row = len(key), np.arange(len(key))
+        turn = key[1:] != key[:-1]
+        runs, groups = (np.append(np.flatnonzero(x) + 1, n) for x in (turn, turn | (of[1:] != of[:-1])))
+        last, begin = runs[np.searchsorted(runs, row, side="right")], groups[np.searchsorted(groups, row, side="right")]
+        row = row[last > begin]
+        total = np.cumsum(last[row] - begin[row])
+        while row.size:
+            k = max(1, int(np.searchsorted(total, STEP, side="right")))
+            some, count = row[:k], (last - begin)[row[:k]]
+            i = np.repeat(some, count)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + begin[i]
+            both = np.minimum(size[i] - place[i], size[j] - place[j])
+            may = (100 + percent) * both >= percent * (size[i] + size[j])
+            a, b = short[i[may]], short[j[may]]
+            if a.size:
+                found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            row, total = row[k:], total[k:] - total[k - 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * len(_MET)
+        for batch in batches:
+            rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _MET, strict=True)]
+            whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            yield from pairs(*(x[:whole] for x in rows))
+            held = [x[whole:] for x in rows]
+        yield from pairs(*held)
+
+    return run
+
+
+def _apart(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, component, n_shingles, rare) in different components that may be at the bound, each once."""
+    short = F.xxhash64("node")
+    rows = nodes.select(short.alias("short"), F.xxhash64("component").alias("of"), "n_shingles", "rare").mapInArrow(_spread, "key long, of long, short long, n_shingles long, place long")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent), "a long, b long").distinct()
+    one, two = (nodes.select(short.alias(c), F.col("node").alias(f"of_{c}")) for c in "ab")
+    return found.join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
@@ -247,6 +356,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     return links, part, left.join(at_a, "a").join(at_b, "b").where("of_a <> of_b").select("a", "b")
 
 
+def _members(narrow: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, members, fine) of the ``wanted`` sets (node, least), from a text of each."""
+    # By the id of one of its rows, then by what the row holds.
+    rows = wanted.select(F.col("node").alias("wanted"), F.col("least").alias("least_id"))
+    texts = narrow.join(rows, narrow["id"].eqNullSafe(rows["least_id"])).select("wanted", "text")
+    return texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>, fine binary").where("wanted = node").select("node", "members", "fine").dropDuplicates(["node"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, keyed: bool = False) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -257,19 +374,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share a component; a repeated id is kept each time. Other columns of ``docs`` are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    found = saved(narrow.mapInArrow(_scan(k), f"id {narrow.schema['id'].dataType.simpleString()}, text_hash long, node binary, n_shingles long, sig binary"), "signatures")
+    found = saved(narrow.mapInArrow(_scan(k, percent, _levels(narrow, k)), f"id {narrow.schema['id'].dataType.simpleString()}, text_hash long, node binary, n_shingles long, sig binary, rare binary"), "signatures")
     # Equal sets have equal signatures: one of each goes on.
-    groups = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    groups = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("rare").alias("rare"))
     nodes = saved(groups, "nodes")
     pairs = saved(_pairs(nodes.withColumn("component", F.col("node")), percent, WINDOW, 1), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    # Each wanted set once more from its text: by the id of one of its rows, then by what the row holds.
-    rows = wanted.select(F.col("node").alias("wanted"), F.col("least").alias("least_id"))
-    texts = narrow.join(rows, narrow["id"].eqNullSafe(rows["least_id"])).select("wanted", "text")
-    sets = saved(texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>, fine binary").where("wanted = node").select("node", "members", "fine").dropDuplicates(["node"]), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("rare"), "node")
+    sets = saved(_members(narrow, wanted, k), "sets")
     links, part, left = _linked(pairs, sets, percent)
     wide = _pairs(wanted.join(part, "node").join(sets.select("node", "fine"), "node"), percent, WIDE, KEPT).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     links = links.unionByName(saved(_confirmed(left.unionByName(wide), sets, percent), "links"))
+    # All that is left: sets of different components.
+    part = nodes.select("node", "n_shingles", "rare").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = saved(_apart(part, percent), "apart")
+    more = saved(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "least"), "node"), "more")
+    if few := more.count():
+        sets = sets.unionByName(saved(_members(narrow, F.broadcast(more) if few <= FEW else more, k), "sets"))
+    links = links.unionByName(saved(_confirmed(apart, sets, percent), "links"))
     of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     out = found.select("id", "text_hash", "node", "n_shingles").join(named, "node", "left")
