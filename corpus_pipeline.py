@@ -39,8 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: that of the least id, and one row of it."""
     marked = neardup.near_duplicates(docs, keyed=True)
-    # Texts of one id may be of several groups or of one: the least hash of each group and id stays, and one row of it.
-    chosen = marked.where("kept").groupBy(F.col("doc_id").alias("__id"), F.when(F.col("n_shingles") > 0, F.lit(0)).otherwise(F.col("text_hash")).alias("__alone")).agg(F.min("text_hash").alias("__of"))
+    # A null or repeated id may be of several groups: the least hash of each stays, and one row of it.
+    chosen = marked.where("kept").groupBy(F.col("doc_id").alias("__id"), "group", F.when(F.col("group").isNull(), F.col("text_hash")).alias("__alone")).agg(F.min("text_hash").alias("__of"))
     ids = saved(chosen.select(row_key(F.col("__id"), F.col("__of")).alias("__key")), "kept")
     w = Window.partitionBy("__key").orderBy(F.lit(0))
     return _by_text(docs).join(ids, "__key").withColumn("__copy", F.row_number().over(w)).where("__copy = 1").select(*docs.columns)

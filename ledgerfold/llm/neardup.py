@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words split at ASCII white space with A-Z lower-cased; a set holds the distinct ``k``-word shingles of the whole text, or its
     whole sequence where it has fewer words. Sets whose intersection is at least ``percent`` hundredths of their union are linked;
     ``component_id`` is the least id reachable and ``kept`` marks it. Texts without words (null, empty, blank) are linked with nothing
-    and are their own component. ``keyed``: with ``text_hash``, the xxhash64 of the row's text. Rows with a null id take part: their component is the least id that is not null, or null.
+    and are their own component. ``keyed``: with ``text_hash``, the xxhash64 of the row's text, and ``group``, null for texts without words: groups of one ``component_id`` differ in it. Rows with a null id take part: their component is the least id that is not null, or null.
     Repeated rows share a component; a repeated id is kept each time. Other columns of ``docs`` are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets.unionByName(saved(_members(narrow, F.broadcast(more) if few <= FEW else more, k), "sets"))
     links = links.unionByName(saved(_confirmed(apart, sets, percent), "links"))
     of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id", F.col("component").alias("group"))
     out = found.select("id", "text_hash", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), *(["text_hash"] if keyed else []), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *(["text_hash", "group"] if keyed else []), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
