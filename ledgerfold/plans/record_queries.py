@@ -127,7 +127,7 @@ pairs AS (SELECT x.norm AS a, y.norm AS b, sum(x.w * y.w) AS score FROM un x JOI
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "part").where("p_partkey <= 400").select(N.normalize_name(F.concat_ws(" ", "p_brand", "p_type")).alias("norm"))
+    raw = table(spark, sf_dir, "part").select(N.normalize_name(F.concat_ws(" ", "p_brand", "p_type")).alias("norm"))
     return resolve.similar_pairs(resolve.blocks(raw), 0.6)
 
 
@@ -146,7 +146,7 @@ def review_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_PAIR_SQL}, e AS (SELECT a, b FROM pairs WHERE score >= 0.85 UNION SELECT b, a FROM pairs WHERE score >= 0.85), n AS (SELECT DISTINCT norm FROM normed),
 r(node, seen) AS (SELECT norm, norm FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").where("p_partkey <= 400").select(N.normalize_name(F.concat_ws(" ", "p_brand", "p_type")).alias("node")).distinct()
+    names = table(spark, sf_dir, "part").select(N.normalize_name(F.concat_ws(" ", "p_brand", "p_type")).alias("node")).distinct()
     return resolve.components(names, _pairs(spark, sf_dir).where("score >= 0.85"))
 
 
