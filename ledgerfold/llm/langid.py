@@ -103,8 +103,8 @@ def _word_scores(w: kernel.Words, model: Model) -> np.ndarray:
 def _paths(s: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The best language of each word, by text.
 
-    A text whose favourite loses to no other over any run of words by more than the cost of a switch is in one language: no path
-    with switches is better. Only other texts are gone through word by word, all together.
+    A text whose favourite loses to no other over any run of words by more than half the cost of a switch is in one language: a path
+    with k switches has k + 1 runs in others at most, so none is better. Only other texts are gone through word by word, all together.
     """
     n, total = np.diff(of), np.vstack([np.zeros((1, s.shape[1])), np.cumsum(s, axis=0)])
     sums = total[of[1:]] - total[of[:-1]]
@@ -119,7 +119,7 @@ def _paths(s: np.ndarray, of: np.ndarray) -> np.ndarray:
     for i in range(s.shape[1]):
         gain = np.cumsum(s[:, i] - favourite)
         low = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]) - lift[text]) + lift[text]
-        over = gain - low > SWITCH
+        over = gain - low > SWITCH / 2
         mixed[text[over]] = True
     some = np.flatnonzero(mixed)
     some = some[np.argsort(-n[some], kind="stable")]
