@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of ``spark.checkpoint.dir``; a temporary folder where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None and context.master.startswith("local"):
-            at = tempfile.mkdtemp(prefix="ledgerfold-")
-        context.setCheckpointDir(at or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
+from ledgerfold.storage import saved
 
 
 def ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -27,7 +16,7 @@ def ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     parts, a few for each group, say how many stand before it.
     """
     keys = [*groups, "__part"]
-    dealt = cut(df.where(F.col(value).isNotNull()).repartitionByRange(*groups, value).withColumn("__part", F.spark_partition_id()))
+    dealt = saved(df.where(F.col(value).isNotNull()).repartitionByRange(*groups, value).withColumn("__part", F.spark_partition_id()), "ranked")
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     before = F.sum("__k").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k")).withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__n", F.sum("__k").over(whole))

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from ledgerfold.functions import names as N
 from ledgerfold.functions.scalars import entity_id
-from ledgerfold.operators.ranks import cut
+from ledgerfold.operators import graph
+from ledgerfold.storage import saved
 
 MERGE, REVIEW = 0.85, 0.60
 #: A block of more names is divided by their second word.
@@ -23,12 +24,12 @@ def char_grams(word: Column) -> Column:
     return F.concat(*(of(n) for n in GRAMS))
 
 
-def blocks(names: DataFrame) -> DataFrame:
-    """(norm, block) of distinct normalised names."""
+def blocks(names: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(norm, block) of distinct normalised names. Names of a block of more than ``max_block`` meet within their second word only."""
     keyed = names.select("norm").where("norm <> ''").distinct().withColumn("block", N.block_key(F.col("norm")))
     sized = keyed.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("block")))
     second = F.coalesce(F.get(N.tokens(F.col("norm")), F.lit(1)), F.lit(""))
-    return sized.select("norm", F.when(F.col("__n") > MAX_BLOCK, F.concat_ws("|", "block", second)).otherwise(F.col("block")).alias("block"))
+    return sized.select("norm", F.when(F.col("__n") > max_block, F.concat_ws("|", "block", second)).otherwise(F.col("block")).alias("block"))
 
 
 def similar_pairs(blocked: DataFrame, floor: float = REVIEW) -> DataFrame:
@@ -48,20 +49,9 @@ def similar_pairs(blocked: DataFrame, floor: float = REVIEW) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, component): the least node reachable over ``edges`` (a, b).
-
-    Labels pass along edges as grouped minima and jump to the label of their label; lineage is cut each round.
-    """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select(F.col(node), F.col(node).alias("component")))
-    while True:
-        heard = both.join(labels, both["b"] == labels[node]).groupBy("a").agg(F.min("component").alias("heard"))
-        low = labels.join(heard, labels[node] == heard["a"], "left").select(node, F.least("component", F.coalesce("heard", "component")).alias("component"))
-        jumped = low.alias("x").join(low.select(F.col(node).alias("at"), F.col("component").alias("further")).alias("y"), F.col("x.component") == F.col("y.at")).select(F.col(f"x.{node}").alias(node), F.col("y.further").alias("component"))
-        after = cut(jumped)
-        if not after.join(labels.withColumnRenamed("component", "was"), node).where("component <> was").limit(1).count():
-            return after
-        labels = after
+    """(node, component): the least node reachable over ``edges`` (a, b)."""
+    placed = graph.components(edges.select("a", "b"))
+    return nodes.select(node).join(placed.withColumnRenamed("node", "at"), F.col(node) == F.col("at"), "left").select(node, F.coalesce("component", node).alias("component"))
 
 
 def pair_key(a: Column, b: Column) -> tuple[Column, Column]:
@@ -88,7 +78,7 @@ def write_review(pairs: DataFrame, decided: DataFrame, path: str) -> None:
     every.orderBy(F.col("decision") == "", F.desc("score"), "a", "b").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def resolve(counts: DataFrame, decided: DataFrame | None = None, merge: float = MERGE, review: float = REVIEW) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve(counts: DataFrame, decided: DataFrame | None = None, merge: float = MERGE, review: float = REVIEW, max_block: int = MAX_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (name, n_rows): names with ``entity_id``, entities (entity_id, canonical_name, variants, n_rows), pairs with verdicts.
 
     Spellings that normalise alike are one; the id is of the commonest spelling (the least of equals); a blank name has an empty id.
@@ -97,8 +87,8 @@ def resolve(counts: DataFrame, decided: DataFrame | None = None, merge: float =
     spark = counts.sparkSession
     decided = decided if decided is not None else spark.createDataFrame([], "a string, b string, decision string")
     normed = counts.select("name", "n_rows", N.normalize_name(F.col("name")).alias("norm"))
-    normed = cut(normed)
-    pairs = cut(split_pairs(similar_pairs(blocks(normed), review), decided, merge))
+    normed = saved(normed, "names")
+    pairs = saved(split_pairs(similar_pairs(blocks(normed, max_block), review), decided, merge), "pairs")
     merged = decided.where("decision = 'merge'").select("a", "b").unionByName(pairs.where("verdict = 'merge'").select("a", "b")).distinct()
     parts = components(normed.select(F.col("norm").alias("node")).where("node <> ''").distinct(), merged)
     placed = normed.join(parts, normed["norm"] == parts["node"], "left")
