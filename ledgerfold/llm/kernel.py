@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 U = np.uint64
-_M1, _M2, _GOLD, _STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_M1, _M2, _GOLD, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
 
 
@@ -70,6 +70,11 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         i = j
 
 
+def whole(texts: pa.ChunkedArray) -> pa.Array:
+    """All chunks as one array."""
+    return pa.concat_arrays([pa.array([], pa.large_string()), *(c.cast(pa.large_string()) for c in texts.chunks)])
+
+
 class Words(NamedTuple):
     """``norm``: bytes after the table, 0 between words. ``of``: index of each text's first word (one more than texts)."""
 
@@ -80,17 +85,27 @@ class Words(NamedTuple):
 
 
 def words(block: Block, table: np.ndarray) -> Words:
-    norm = table[block.data]
+    return spans(table[block.data], block.offsets)
+
+
+def spans(norm: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of bytes that are 0 between words; none runs from one text into the next."""
     inside = norm != 0
     n = len(norm)
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     if n:
         before[1:], after[:-1] = inside[:-1], inside[1:]
-        cuts = block.offsets[1:-1]
+        cuts = offsets[1:-1]
         before[cuts[cuts < n]] = False
         after[cuts[cuts > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return Words(norm, starts, ends, np.searchsorted(starts, block.offsets))
+    return Words(norm, starts, ends, np.searchsorted(starts, offsets))
+
+
+def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as a number, so that they sort as text does."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    return (lanes[starts] & _MASK[np.minimum(ends - starts, 8)]).byteswap()
 
 
 def hash_spans(norm: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,7 +115,7 @@ def hash_spans(norm: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     h = mix((lanes[starts] & _MASK[np.minimum(size, 8)]) ^ size.astype(U) * _GOLD)
     left, at = np.flatnonzero(size > 8), 8
     while left.size:
-        h[left] = mix(h[left] * _STEP + (lanes[starts[left] + at] & _MASK[np.minimum(size[left] - at, 8)]))
+        h[left] = mix(h[left] * STEP + (lanes[starts[left] + at] & _MASK[np.minimum(size[left] - at, 8)]))
         at += 8
         left = left[size[left] > at]
     return h
@@ -123,7 +138,7 @@ def shingles(h: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         begin = first[pick]
         s = np.full(len(pick), U(int(w)))
         for j in range(int(w)):
-            s = s * _STEP + h[begin + j]
+            s = s * STEP + h[begin + j]
         out[pick] = mix(s)
     return out, at
 

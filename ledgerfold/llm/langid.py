@@ -6,7 +6,10 @@ be meant, and a Viterbi path over the words, with a penalty for each switch, div
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import bounded_sample
+from ledgerfold.llm.store import bounded_sample, learned, small_batches
 
 #: Bound of the labelled sample that is fitted.
 FIT_ROWS, FIT_CHARS = 12_000, 24_000_000
@@ -32,12 +35,43 @@ for _bit, _leads in enumerate([[*range(0x61, 0x7B), *range(0xC3, 0xCA)], [0xCE,
 SCRIPTS = 12
 
 
+#: Classes of code points: letters, and marks, which belong to the letter before them.
+LETTER, MARK = 1, 2
+
+
+@cache
+def classes() -> np.ndarray:
+    """LETTER, MARK or 0 for each code point."""
+    return np.array([{"L": LETTER, "M": MARK}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)], np.uint8)
+
+
+def words(block: kernel.Block, of: np.ndarray) -> tuple[kernel.Words, np.ndarray]:
+    """Runs of letters and marks by their code points, ``of`` as in ``classes``; and for each byte whether a letter begins there."""
+    data = block.data
+    norm = kernel.LETTER[data]
+    letter = (norm > 0) & (data < 0x80)
+    lead = np.flatnonzero(data >= 0xC0)
+    if lead.size:
+        wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+        b = [wide[lead + j] for j in range(4)]
+        low = [x & 0x3F for x in b]
+        two, three = b[0] < 0xE0, b[0] < 0xF0
+        point = np.where(two, (b[0] & 0x1F) << 6 | low[1], np.where(three, (b[0] & 0x0F) << 12 | low[1] << 6 | low[2], (b[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]))
+        kind = of[np.minimum(point, len(of) - 1)]
+        letter[lead[kind == LETTER]] = True
+        sign, size = lead[kind == 0], np.where(two, 2, np.where(three, 3, 4))[kind == 0]
+        for j in range(4):
+            norm[sign[size > j] + j] = 0
+    return kernel.spans(norm, block.offsets), letter
+
+
 class Model(NamedTuple):
-    """``scores``: log of each triple's share, by bucket and language; ``may``: whether a language is a candidate, by script and language."""
+    """``scores``: log of each triple's share, by bucket and language; ``may``: whether a language is a candidate, by script and language; ``classes``: of code points."""
 
     langs: list[str]
     scores: np.ndarray
     may: np.ndarray
+    classes: np.ndarray
 
 
 def _buckets(norm: np.ndarray) -> np.ndarray:
@@ -53,13 +87,15 @@ def _scripts(w: kernel.Words) -> np.ndarray:
 def fit(docs: DataFrame, text: Column, lang: Column, key: Column) -> Model:
     """Learns from rows with text and language; a bounded sample of them, by a hash of ``key``."""
     rows = docs.select(text.cast("string").alias("text"), lang.alias("lang"), key.alias("key")).where("text is not null and lang is not null")
-    table = bounded_sample(rows, F.col("key"), F.col("text"), FIT_ROWS, FIT_CHARS).select("lang", "text").toArrow()
-    names, texts = np.array(table.column("lang").to_pylist(), object), table.column("text").combine_chunks()
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    return learned(bounded_sample(rows, F.col("key"), F.col("text"), FIT_ROWS, FIT_CHARS).select("lang", "text"), _fitted)
+
+
+def _fitted(table: pa.Table) -> Model:
+    names, texts, of = np.array(table.column("lang").to_pylist(), object), kernel.whole(table.column("text")), classes()
     langs = sorted(set(names.tolist()))
     counts, used = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), SCRIPTS))
     for block in kernel.blocks(texts):
-        w = kernel.words(block, kernel.LETTER)
+        w = words(block, of)[0]
         triples, scripts, inside = _buckets(w.norm), _scripts(w), w.norm > 0
         who = np.searchsorted(langs, names[block.first : block.last].astype(str))
         of_byte, of_word = np.repeat(who, np.diff(block.offsets)), np.repeat(who, np.diff(w.of))
@@ -67,7 +103,7 @@ def fit(docs: DataFrame, text: Column, lang: Column, key: Column) -> Model:
             counts[i] += np.bincount(triples[(of_byte == i) & inside], minlength=BUCKETS)
             used[i] += [np.count_nonzero(scripts[of_word == i] >> b & 1) for b in range(SCRIPTS)]
     share = (counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)
-    return Model(langs, np.log(share).T.astype(np.float32), (used > OWN_SCRIPT * np.maximum(1, used.sum(axis=1, keepdims=True))).T)
+    return Model(langs, np.log(share).T.astype(np.float32), (used > OWN_SCRIPT * np.maximum(1, used.sum(axis=1, keepdims=True))).T, of)
 
 
 def _votes(block: kernel.Block, w: kernel.Words, path: np.ndarray, langs: int) -> np.ndarray:
@@ -156,17 +192,13 @@ def _label(model: Model):
         for batch in batches:
             texts = batch.column(1)
             for block in kernel.blocks(texts, 4 * kernel.BLOCK_BYTES):
-                w = kernel.words(block, kernel.LETTER)
+                w, letter = words(block, model.classes)
                 path = _paths(_word_scores(w, model), w.of) if model.langs else np.zeros(len(w.starts), np.int16)
                 letters = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
                 start, end, n = letters[w.starts], letters[w.ends], np.diff(w.of)
                 text = np.repeat(np.arange(len(n)), n)
                 votes = _votes(block, w, path, len(langs)) if len(langs) else np.zeros((len(n), 1))
-                known = (votes.sum(axis=1) > 0) & bool(model.langs)
-                for i in np.flatnonzero(known):
-                    # Bytes beyond ASCII count as letters so far; a text of signs alone has none.
-                    if w.ends[w.of[i]] and not (_SCRIPT[w.norm[block.offsets[i] : block.offsets[i + 1]]] & 1).any():
-                        known[i] = any(c.isalpha() for c in bytes(block.data[block.offsets[i] : block.offsets[i + 1]]).decode())
+                known = (np.diff(np.concatenate([[0], np.cumsum(letter)])[block.offsets]) > 0) & bool(model.langs)
                 top = votes.argmax(axis=1)
                 share = votes[np.arange(len(n)), top] / np.maximum(votes.sum(axis=1), 1)
                 turn = np.ones(len(path), bool)
@@ -189,6 +221,6 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     ``lang_pred``: the language of most letters, ``und`` for a text that is null or has no letter, or if nothing was learned; ``score``: its
     share of all letters, 0 for ``und``. Ties go to the language first by name. Repeated rows are labelled alike; other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = narrow.mapInArrow(_label(model), f"id {narrow.schema['id'].dataType.simpleString()}, lang string, score double, spans {_SPANS}")
     return found.select(F.col("id").alias(id_col), F.col("lang").alias("lang_pred"), "score", "spans")

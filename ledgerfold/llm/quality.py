@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import labelled_sample, trimmed
+from ledgerfold.llm.store import labelled_sample, learned, small_batches, unused
 
 #: Bound of the labelled sample that is fitted.
-FIT_ROWS, FIT_CHARS = 5_000, 10_000_000
+FIT_ROWS, FIT_CHARS = 10_000, 20_000_000
 #: Terms share vectors beyond so many; dimensions, entries of an index vector that are not 0, neighbours on each side.
 TERMS, WIDTH, ENTRIES, REACH = 1 << 15, 48, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 0.01, 1e-4
@@ -120,24 +120,30 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     """Learns from labelled documents (0 or 1); a bounded sample of them, by a hash of the key."""
-    table = labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
-    y, texts = table.column("y").to_numpy().astype(np.float64), table.column("text").combine_chunks()
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    del table
+    return learned(labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text"), _fitted)
+
+
+def _neighbourhoods(term: np.ndarray, text: np.ndarray, own: np.ndarray, context: np.ndarray) -> None:
+    """Adds to each term's context the index vectors of the terms within REACH of it in the same text."""
+    for gap in range(1, REACH + 1):
+        near = np.flatnonzero(text[gap:] == text[:-gap])
+        for me, other in ((near, near + gap), (near + gap, near)):
+            order = np.argsort(term[me], kind="stable")
+            who = term[me][order]
+            head = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.empty(0, int)
+            if head.size:
+                context[who[head]] += np.add.reduceat(own[term[other][order]], head, axis=0)
+
+
+def _fitted(table: pa.Table) -> Model:
+    table = table.sort_by("key")
+    y, texts = table.column("y").to_numpy().astype(np.float64), kernel.whole(table.column("text"))
     own = _index_vectors()
     context, parsed = np.zeros((TERMS, WIDTH), np.float32), []
     for block in kernel.blocks(texts, kernel.BLOCK_BYTES // 4):
         term, of = _terms(block)
-        parsed.append((term, of))
-        text_of = np.repeat(np.arange(len(of) - 1), np.diff(of))
-        for gap in range(1, REACH + 1):
-            near = np.flatnonzero(text_of[gap:] == text_of[:-gap])
-            for me, other in ((near, near + gap), (near + gap, near)):
-                order = np.argsort(term[me], kind="stable")
-                who = term[me][order]
-                head = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.empty(0, int)
-                if head.size:
-                    context[who[head]] += np.add.reduceat(own[term[other][order]], head, axis=0)
+        parsed.append((term.astype(np.int32), of))
+        _neighbourhoods(term, np.repeat(np.arange(len(of) - 1), np.diff(of)), own, context)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = (own + np.sqrt(ENTRIES) * context / np.maximum(norm, 1e-9)).astype(np.float32)
     x = np.vstack([np.zeros((0, WIDTH + 1), np.float32), *(_pool(t, of, vectors) for t, of in parsed)])
@@ -149,8 +155,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     x = (x - mean) / spread
     held = np.arange(len(y)) % round(1 / CALIBRATION) == 0
     layers = _train(x[~held], y[~held])
-    del texts, parsed, context
-    trimmed()
     return Model(vectors, mean, spread, layers, _temperature(_forward(x[held], layers)[1], y[held]))
 
 
@@ -165,21 +169,23 @@ def _score(model: Model):
     return run
 
 
-def _append_score(model: Model, text_at: int):
+def _append_score(model: Model, text_at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _score(model)
         for batch in batches:
             texts = batch.column(text_at)
             found = [b.column(1) for b in score(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), texts], names=["id", "text"])]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(found) if found else pa.array([], pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(found) if found else pa.array([], pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__score``: for a filter of rows, without a join back to them."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``score_col``, named so that no other column has its name: for a filter of rows, without a join back to them. See ``quality`` for the scores."""
+    if unused(docs.columns, score_col) != score_col:
+        raise ValueError(f"docs have a column {score_col}")
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return docs.mapInArrow(_append_score(model, docs.columns.index(text_col)), f"{schema}, __score double")
+    return small_batches(docs).mapInArrow(_append_score(model, docs.columns.index(text_col), score_col), f"{schema}, `{score_col}` double")
 
 
 def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,6 +193,6 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Whole texts are read; null and empty texts have the score of a text without terms. Repeated rows score alike; other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = narrow.mapInArrow(_score(model), f"id {narrow.schema['id'].dataType.simpleString()}, score double")
     return found.select(F.col("id").alias(id_col), "score")

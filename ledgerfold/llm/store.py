@@ -1,61 +1,38 @@
-"""Tables in the folder that the driver and all executors share.
-
-Iterations and reused intermediates are written as Parquet there, so that a lost
-executor costs a reread and not a recomputation of everything before it.
-"""
+"""Helpers that the corpus operators share: tables in the shared folder, keys, folds, and bounded samples for fits."""
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import tempfile
-import uuid
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-
+from ledgerfold.storage import freed, saved, shared_dir, unused
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse (or, on a local master, a temporary one)."""
-    if found := spark.conf.get(SETTING, None):
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerfold-')}"
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    spark.conf.set(SETTING, found)
-    return found
+__all__ = ["bounded_sample", "fold", "freed", "labelled_sample", "learned", "row_key", "saved", "shared_dir", "small_batches", "unused"]
 
+#: Rows of an Arrow batch at most, where whole texts go to Python: a batch of long texts is held whole on both sides.
+BATCH_ROWS = 1_000
+#: Rows of a table that is sent to every executor at most; such tables hold keys and hashes, 100 bytes a row.
+FEW = 100_000
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+T = TypeVar("T")
 
 
-def freed(df: DataFrame) -> None:
-    """Deletes a table made by ``saved`` that nothing reads any more; what its making shuffled can go too."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().rpartition("-")[2].isalnum() and shared_dir(spark).rpartition(":")[2] in folder.toString():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    jvm.System.gc()
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends BATCH_ROWS rows to Python at once at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
-def trimmed() -> None:
-    """Gives memory of a fit on the driver back to the system: Arrow's pool and the allocator keep it else."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
+def nearby(df: DataFrame, rows: int, most: int = FEW) -> DataFrame:
+    """``df`` of ``rows`` narrow rows, sent to every executor where these are ``most`` at most; a join deals out both sides else."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def row_key(*columns: Column) -> Column:
@@ -89,3 +66,15 @@ def bounded_sample(df: DataFrame, key, text, rows: int, chars: int) -> DataFrame
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
     share = min(1.0, rows / max(n, 1), chars / max(total, 1))
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(key, F.lit(20_011)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def learned(sample: DataFrame, fit: Callable[[pa.Table], T]) -> T:
+    """``fit`` over all rows of a bounded sample, in one task of an executor: only the model comes to the driver."""
+    schema = sample.limit(0).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        yield pa.record_batch([pa.array([pickle.dumps(fit(table), 5)], pa.binary())], names=["model"])
+
+    found = small_batches(sample).repartition(1).mapInArrow(run, "model binary").head()
+    return fit(schema.empty_table()) if found is None else pickle.loads(found["model"])

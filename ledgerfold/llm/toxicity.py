@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import labelled_sample
+from ledgerfold.llm.store import labelled_sample, learned, small_batches
 
 #: Bound of the labelled sample that is fitted.
 FIT_ROWS, FIT_CHARS = 16_000, 30_000_000
@@ -88,9 +88,12 @@ def _noisy_or(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Learns from labelled documents (0 or 1); a bounded sample of them, by a hash of the key."""
-    table = labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text").toArrow().sort_by("key")
-    y, texts = table.column("y").to_numpy().astype(np.float64), table.column("text").combine_chunks()
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    return learned(labelled_sample(docs, labels, text, key, label, FIT_ROWS, FIT_CHARS).select("key", "y", "text"), _fitted)
+
+
+def _fitted(table: pa.Table) -> Model:
+    table = table.sort_by("key")
+    y, texts = table.column("y").to_numpy().astype(np.float64), kernel.whole(table.column("text"))
     toxic, other = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     # Texts are parsed twice, so that only features that take part are held.
     for block in kernel.blocks(texts):
@@ -157,6 +160,6 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Whole texts are read. Null, empty and wordless texts score 0. Repeated rows score alike; other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = narrow.mapInArrow(_score(model), f"id {narrow.schema['id'].dataType.simpleString()}, score double, offending array<struct<start:int,end:int,score:double>>")
     return found.select(F.col("id").alias(id_col), "score", "offending")
