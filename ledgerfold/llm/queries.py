@@ -114,18 +114,25 @@ _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_repeats": r"""
-WITH parted AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\n]{48,}?[.!?]+[ \t]*\n?|[^\n]*\n|[^\n]+') AS lines FROM documents),
-lined AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
-          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM parted)),
-filled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM lined WHERE bare <> ''),
-wide AS (SELECT doc_id, k, n, least(n, 3) AS w, string_agg(bare, chr(10)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS held FROM filled),
-ranked AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY held ORDER BY doc_id, k) AS place FROM wide WHERE k + w - 1 <= n AND length(held) - w + 1 >= 40),
-gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + w)) AS k FROM ranked WHERE place > 1),
-marked AS (SELECT l.doc_id, l.i, l.line, f.k IS NOT NULL AS is_full, g.k IS NOT NULL AS is_gone
-           FROM lined l LEFT JOIN filled f ON l.doc_id = f.doc_id AND l.i = f.i LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.k = g.k),
-joined AS (SELECT doc_id, count(*) FILTER (is_full) AS n_lines, count(*) FILTER (is_gone) AS n_removed, coalesce(string_agg(line, '' ORDER BY i) FILTER (NOT is_gone), '') AS kept FROM marked GROUP BY doc_id)
-SELECT p.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN p.text WHEN n_removed = n_lines THEN '' ELSE kept END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
-FROM parted p LEFT JOIN joined j ON p.doc_id = j.doc_id""",
+WITH rows AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS r FROM documents),
+cut AS (SELECT doc_id, r, regexp_extract(line, '^[\x20\x09-\x0D]*') AS lead, regexp_extract_all(line, '(?:[\x{3000}-\x{D7FF}]|[^\x20\x09-\x0D\x{3000}-\x{D7FF}]+)[\x20\x09-\x0D]*') AS parts FROM rows),
+worded AS (SELECT doc_id, r, lead, unnest(parts) AS part, unnest(range(len(parts))) AS i, len(parts) AS n FROM cut),
+keyed AS (SELECT *, rtrim(part, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS word FROM worded),
+wide AS (SELECT doc_id, r, i, n, max({'k': rpad(left(hex(encode(word)), 16), 16, '0'), 'i': i}) OVER (PARTITION BY doc_id, r ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS top FROM keyed),
+ends AS (SELECT DISTINCT doc_id, r, top.i AS i FROM wide WHERE i + 12 <= n),
+sorted AS (SELECT k.*, coalesce(sum(CASE WHEN e.i IS NOT NULL THEN 1 END) OVER (PARTITION BY k.doc_id, k.r ORDER BY k.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM keyed k LEFT JOIN ends e ON k.doc_id = e.doc_id AND k.r = e.r AND k.i = e.i),
+pieces AS (SELECT doc_id, r, p, string_agg(word, ' ' ORDER BY i) AS held, string_agg(part, '' ORDER BY i) AS raw, count(*) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY r, p) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM sorted GROUP BY doc_id, r, p),
+windows AS (SELECT doc_id, k, n, least(n, 3) AS w, string_agg(held, chr(10)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS held FROM pieces),
+ranked AS (SELECT doc_id, k, w, row_number() OVER (PARTITION BY held ORDER BY doc_id, k) AS place FROM windows WHERE k + w - 1 <= n),
+covered AS (SELECT DISTINCT doc_id, unnest(range(k, k + w)) AS k FROM ranked WHERE place > 1),
+runs AS (SELECT c.doc_id, c.k, p.words, c.k - row_number() OVER (PARTITION BY c.doc_id ORDER BY c.k) AS run FROM covered c JOIN pieces p ON c.doc_id = p.doc_id AND c.k = p.k),
+gone AS (SELECT doc_id, k FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS size FROM runs) WHERE size >= 20),
+marked AS (SELECT p.*, g.k IS NOT NULL AS is_gone FROM pieces p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.k = g.k),
+left_over AS (SELECT doc_id, r, string_agg(raw, '' ORDER BY p) FILTER (NOT is_gone) AS kept FROM marked GROUP BY doc_id, r),
+joined AS (SELECT c.doc_id, string_agg(c.lead || coalesce(o.kept, ''), chr(10) ORDER BY c.r) FILTER (len(c.parts) = 0 OR o.kept IS NOT NULL) AS kept FROM cut c LEFT JOIN left_over o ON c.doc_id = o.doc_id AND c.r = o.r GROUP BY c.doc_id),
+counted AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (is_gone) AS n_removed FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text WHEN n_removed = n_lines THEN '' ELSE kept END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id LEFT JOIN counted c ON d.doc_id = c.doc_id""",
     "op8_url_filter": f"""
 WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES
     ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),

@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerfold.llm import linedup, quality
+from ledgerfold.llm import quality
 from ledgerfold.llm.store import saved
 
+from plain_line_dedup import plain_cut, plain_lines, plain_windows
+
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables are absent")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,22 +31,18 @@ def by_quality(spark, docs):
 
 
 def by_lines(spark, docs):
-    seen, out = set(), []
-    first: dict[str, tuple] = {}
-    cut = {r: linedup._windows(r[1] or "") for r in set(rows(docs))}
-    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
-    order = sorted(cut, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
-    for r in order:
-        for i, held in cut[r][2]:
-            first.setdefault(held, (r, i))
-    for r in rows(docs):
-        lines, full, windows = cut[r]
-        again = r in seen
-        seen.add(r)
-        gone = {full[j] for i, held in windows if again or first[held] != (r, i) for j in range(i, min(i + 3, len(full)))}
-        text = r[1] if not gone else "".join(x for i, x in enumerate(lines) if i not in gone) if len(gone) < len(full) else ""
-        if not gone or text:
-            out.append((r[0], text, r[2], r[3], len(text) if gone else r[4]))
+    every, out = rows(docs), []
+    hashes = {(r["doc_id"], r["text"]): r["h"] for r in docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    texts = {(r[0], r[1]): plain_lines(r[1]) for r in every}
+    first = {}
+    for key in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x])):
+        for i, held in plain_windows(texts[key]):
+            first.setdefault(held, (key, i))
+    for r in every:
+        key = r[:2]
+        text, removed = plain_cut(r[1], texts[key], [i for i, held in plain_windows(texts[key]) if first[held] != (key, i)])
+        if not removed or text:
+            out.append((r[0], text, r[2], r[3], len(text) if removed else r[4]))
     return sorted(out, key=repr)
 
 
