@@ -1,13 +1,10 @@
 """Near-duplicate documents by an LSH forest.
 
-Each distinct shingle set gets a signature of ``trees x depth`` min-hashes. Every tree sorts the
-sets by its own ``depth`` values, so that sets with a long common prefix lie side by side; how
-deep two neighbours agree follows from how crowded their region of the order is. In each order a set
-proposes its most alike neighbour. Proposed pairs are confirmed on the full
-sets and linked; the components of these links are the groups. The sets that took part are then sorted
-once more by finer sketches, each proposing several of a wider neighbourhood that are in another
-group. Both looks only find links early: an exact join then compares all sets of different groups, so that no link is lost. Every set
-has its rarest shingles in it, as many as two sets at the bound cannot differ in all of.
+Each distinct shingle set gets a signature of ``trees x depth`` min-hashes. Every tree sorts the sets by its own ``depth`` values, so that
+sets with a long common prefix lie side by side; how deep two neighbours agree follows from how crowded their region of the order is.
+In each order a set proposes its most alike neighbour. Proposed pairs are confirmed on the full sets; links between these make the first
+components. The forest only finds links early: an exact join then compares all sets of different components, so that no link is lost.
+Every set has its rarest shingles in it, as many as two sets at the bound cannot differ in all of.
 """
 
 from __future__ import annotations
@@ -21,21 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import kernel
-from ledgerfold.llm.store import freed, saved
+from ledgerfold.llm.store import freed, nearby, saved, small_batches
+from ledgerfold.operators.graph import components
 
 TREES, DEPTH, SKETCH = 16, 6, 96
-#: Neighbours on each side that a row is compared with in each order, the second time more of them, and how many it then proposes.
-WINDOW, WIDE, KEPT = 16, 64, 4
+#: Neighbours on each side that a row is compared with in each order of the forest; what lies further is left to the exact join.
+WINDOW = 16
 #: Least share of equal sketch bytes: three and a half standard deviations below a likeness of 0.8.
 ALIKE = 0.66
-#: Bytes of the sketch that the second look compares, and the like share of it, as far below.
-FINE, FINELY = 256, 0.715
-#: Rounds that confirm each component's best pair only; after them, every pair left is confirmed.
-BEST_ROUNDS = 2
 #: Counters (a power of two) by which shingles are ordered from rare to frequent, the parts they are added up in, and pairs looked at in one step.
 COUNTERS, PARTS, STEP = 20, 256, 1 << 21
-#: Sets up to which their ids are sent to the texts, beyond, both are dealt out.
-FEW = 100_000
 
 
 def _functions(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +36,7 @@ def _functions(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return drawn[:n].astype(np.uint32) | np.uint32(1), drawn[n:].astype(np.uint32)
 
 
-_LABELS, _FINE = _functions(1, TREES * DEPTH), _functions(1_001, FINE)
+_LABELS = _functions(1, TREES * DEPTH)
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[kernel.Block, np.ndarray, np.ndarray]]:
@@ -64,9 +56,9 @@ def _digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(values: np.ndarray, at: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """uint32 min-hashes of the sets that have members, one row each."""
-    factors, summands = functions
+    factors, summands = _LABELS
     begin = at[:-1][np.diff(at) > 0]
     x = (values >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(begin), len(factors)), np.uint32)
@@ -131,13 +123,16 @@ def _scan(k: int, percent: int, levels: np.ndarray):
                 size, digest = np.diff(at), _digests(values, at).view(np.uint8)
                 sig = np.zeros((len(size), 4 * TREES * DEPTH), np.uint8)
                 if len(values):
-                    sig[size > 0] = _signatures(values, at, _LABELS).astype(">u4").view(np.uint8)
+                    sig[size > 0] = _signatures(values, at).astype(">u4").view(np.uint8)
                 ids, hashes = (batch.column(i).slice(block.first, block.last - block.first) for i in (0, 2))
                 yield pa.record_batch([ids, hashes, _binary(digest, size == 0), pa.array(size, pa.int64()), _binary(sig, size == 0), pa.array(_rarest(values, at, levels, percent), pa.binary())], names=["id", "text_hash", "node", "n_shingles", "sig", "rare"])
 
     return run
 
 
+_ROW = ["tree", "label", "node", "n_shingles", "sketch"]
+
+
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each set once for every tree: its label there, and the same sketch."""
     for batch in batches:
@@ -145,111 +140,57 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         n = batch.num_rows
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, TREES, 4 * DEPTH)
-        sketch = batch.column("fine") if "fine" in batch.schema.names else _binary(sig.reshape(n, -1, 4)[:, :SKETCH, 3])
+        sketch = _binary(sig.reshape(n, -1, 4)[:, :SKETCH, 3])
         for t in range(TREES):
-            yield pa.record_batch([pa.array(np.full(n, t), pa.int32()), _binary(sig[:, t]), *(batch.column(c) for c in ("node", "n_shingles", "component")), sketch], names=_ROW)
-
-
-_ROW = ["tree", "label", "node", "n_shingles", "component", "sketch"]
-_ROW_TYPES = "tree int, label binary, node binary, n_shingles long, component binary, sketch binary"
-_PAIR = f"seam boolean, a binary, b binary, alike float, {_ROW_TYPES}"
+            yield pa.record_batch([pa.array(np.full(n, t), pa.int32()), _binary(sig[:, t]), batch.column("node"), batch.column("n_shingles"), sketch], names=_ROW)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _neighbours(window: int, width: int, alike: float, percent: int, seams: bool, keep: int):
-    """Over sorted rows: each row's ``keep`` most alike ones of the neighbours on both sides that have a common prefix and another component.
+def _neighbours(percent: int):
+    """Over sorted rows: each row's most alike one of the neighbours on both sides that have a common prefix."""
 
-    ``seams``: the first and last rows of the partition are given back too, to be joined with what lies beyond.
-    """
-
-    def best(rows: pa.Table, low: int) -> list[tuple[bytes, bytes, float]]:
+    def best(rows: pa.Table, low: int) -> pa.RecordBatch:
         """The proposals of pairs whose later row is from ``low`` on; a row by the cut between two batches proposes in both."""
         n = rows.num_rows
         tree, size = rows["tree"].to_numpy(), rows["n_shingles"].to_numpy()
-        label, sketch = _matrix(rows["label"], 4 * DEPTH), _matrix(rows["sketch"], width)
+        label, sketch = _matrix(rows["label"], 4 * DEPTH), _matrix(rows["sketch"], SKETCH)
         lead = label[:, :4].copy().view(">u4")[:, 0].astype(np.int64) + (tree.astype(np.int64) << 32)
-        score, who, found = np.full((keep, n), -1.0), np.zeros((keep, n), np.int64), []
-        nodes, group = rows["node"].combine_chunks(), _matrix(rows["component"], 16).copy().view("<u8")
-        for o in range(1, min(window, n - 1) + 1):
-            i = np.flatnonzero((lead[o:] == lead[:-o]) & (group[o:] != group[:-o]).any(axis=1) & (100 * np.minimum(size[o:], size[:-o]) >= percent * np.maximum(size[o:], size[:-o]))) + o
+        score, who, nodes = np.full(n, -1.0), np.zeros(n, np.int64), rows["node"].combine_chunks()
+        for o in range(1, min(WINDOW, n - 1) + 1):
+            i = np.flatnonzero((lead[o:] == lead[:-o]) & (100 * np.minimum(size[o:], size[:-o]) >= percent * np.maximum(size[o:], size[:-o]))) + o
             i = i[i >= low]
             s = (sketch[i] == sketch[i - o]).mean(axis=1)
-            i, s = i[s >= alike], s[s >= alike]
+            i, s = i[s >= ALIKE], s[s >= ALIKE]
             for me, other in ((i, i - o), (i - o, i)):
-                # The least of those kept gives way.
-                slot = score[:, me].argmin(axis=0)
-                up = s > score[slot, me]
-                score[slot[up], me[up]], who[slot[up], me[up]] = s[up], other[up]
-        for k in range(keep):
-            me = np.flatnonzero(score[k] >= 0)
-            ids = nodes.take(pa.array(np.concatenate([me, who[k, me]]))).to_pylist()
-            found += [(*sorted(p), x) for *p, x in zip(ids[: len(me)], ids[len(me) :], score[k, me].tolist(), strict=True)]
-        return found
+                up = s > score[me]
+                score[me[up]], who[me[up]] = s[up], other[up]
+        me = np.flatnonzero(score >= 0)
+        pairs = np.unique(np.sort(np.stack([me, who[me]], axis=1), axis=1), axis=0)
+        ends = [nodes.take(pa.array(pairs[:, k])).to_pylist() for k in (0, 1)]
+        return pa.record_batch([pa.array(x, pa.binary()) for x in (list(map(min, *ends)), list(map(max, *ends)))] if pairs.size else [pa.array([], pa.binary())] * 2, names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, begun = None, False
-        schema = pa.schema([("seam", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("alike", pa.float32()), ("tree", pa.int32()), ("label", pa.binary()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("component", pa.binary()), ("sketch", pa.binary())])
-        blank = dict.fromkeys(schema.names[1:])
-
-        def pairs(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([blank | {"seam": False, "a": a, "b": b, "alike": s} for a, b, s in set(found)], schema)
-
-        def edge(rows: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([blank | {"seam": True} | r for r in rows.to_pylist()], schema)
-
+        held = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            if seams and not begun and rows.num_rows:
-                yield edge(rows.slice(0, window))
             seen = held.num_rows if held is not None else 0
             rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-            yield pairs(best(rows, seen))
-            held, begun = rows.slice(max(0, rows.num_rows - window)), True
-        if held is not None and held.num_rows:
-            if seams:
-                yield edge(held)
+            yield best(rows, seen)
+            held = rows.slice(max(0, rows.num_rows - WINDOW))
 
     return run
 
 
-def _pairs(nodes: DataFrame, percent: int, window: int, keep: int) -> DataFrame:
-    """(a, b, alike): the forest's candidates among ``nodes`` (node, n_shingles, component, sig, perhaps fine), each once."""
-    fine = [c for c in nodes.columns if c == "fine"]
-    look = (FINE, FINELY) if fine else (SKETCH, ALIKE)
-    grown = nodes.select("node", "n_shingles", "component", "sig", *fine).mapInArrow(_plant, _ROW_TYPES)
-    # A range of labels is as deep a prefix as its region needs: crowded regions are cut finer.
+def _pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the forest's candidates among ``nodes`` (node, n_shingles, sig), each once."""
+    grown = nodes.select("node", "n_shingles", "sig").mapInArrow(_plant, "tree int, label binary, node binary, n_shingles long, sketch binary")
+    # A range of labels is as deep a prefix as its region needs: crowded regions are cut finer. Pairs across a cut are left to other trees and the exact join.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "label", "node"]
-    near = saved(grown.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, *look, percent, True, keep), _PAIR), "forest")
-    # Rows about the cuts: 2 x window for each partition.
-    cuts = near.where("seam").select(*_ROW).dropDuplicates(order).repartition(1).sortWithinPartitions(*order)
-    joined = cuts.mapInArrow(_neighbours(2 * window, *look, percent, False, keep), _PAIR)
-    return near.where("not seam").unionByName(joined.where("not seam")).groupBy("a", "b").agg(F.max("alike").alias("alike"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b); component: the least node reachable.
-
-    Alternating large-star and small-star steps; each is a grouped minimum and a join, so that a hub's edges stay dealt out.
-    """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        old, now = now, saved(small, "edges")
-        freed(old)
-        after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = after
+    return grown.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(percent), "a binary, b binary").distinct()
 
 
 def _full(k: int):
@@ -260,8 +201,7 @@ def _full(k: int):
                 keep = pa.array(full)
                 sets = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))
                 wanted = batch.column(0).slice(block.first, block.last - block.first)
-                fine = _binary((_signatures(values, at, _FINE) & np.uint32(255)).astype(np.uint8) if full.any() else np.zeros((0, FINE), np.uint8))
-                yield pa.record_batch([wanted.filter(keep), _binary(_digests(values, at).view(np.uint8)).filter(keep), sets.filter(keep), fine], names=["wanted", "node", "members", "fine"])
+                yield pa.record_batch([wanted.filter(keep), _binary(_digests(values, at).view(np.uint8)).filter(keep), sets.filter(keep)], names=["wanted", "node", "members"])
 
     return run
 
@@ -320,13 +260,14 @@ def _met(percent: int):
     return run
 
 
-def _apart(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of ``nodes`` (node, component, n_shingles, rare) in different components that may be at the bound, each once."""
+def _apart(rare: DataFrame, early: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of ``rare`` (node, n_shingles, rare) in different components of ``early`` that may be at the bound, each once."""
     short = F.xxhash64("node")
-    rows = nodes.select(short.alias("short"), F.xxhash64("component").alias("of"), "n_shingles", "rare").mapInArrow(_spread, "key long, of long, short long, n_shingles long, place long")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent), "a long, b long").distinct()
-    one, two = (nodes.select(short.alias(c), F.col("node").alias(f"of_{c}")) for c in "ab")
+    placed = rare.join(early, "node", "left").select(short.alias("short"), F.xxhash64(F.coalesce("component", "node")).alias("of"), "n_shingles", "rare")
+    rows = small_batches(placed).mapInArrow(_spread, "key long, of long, short long, n_shingles long, place long")
+    parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = saved(rows.repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent), "a long, b long").distinct(), "met")
+    one, two = (rare.select(short.alias(c), F.col("node").alias(f"of_{c}")) for c in "ab")
     return found.join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
 
 
@@ -337,31 +278,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Some rounds that confirm each component's best pair only: the links found, each set's component, and the pairs between components not looked at yet.
-
-    A pair within one component needs no look.
-    """
-    part, left, links = sets.select("node", F.col("node").alias("component")), pairs, None
-    for _ in range(BEST_ROUNDS):
-        at_a, at_b = (part.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        apart = left.join(at_a, "a").join(at_b, "b").where("of_a <> of_b")
-        ends = apart.select("a", "b", "alike", F.explode(F.array("of_a", "of_b")).alias("end"))
-        now = saved(ends.groupBy("end").agg(F.max(F.struct("alike", "a", "b")).alias("top")).select("top.a", "top.b").distinct(), "chosen")
-        good = saved(_confirmed(now, sets, percent), "links")
-        links = good if links is None else links.unionByName(good)
-        part = saved(sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "parts")
-        left = left.join(now, ["a", "b"], "left_anti")
-    at_a, at_b = (part.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-    return links, part, left.join(at_a, "a").join(at_b, "b").where("of_a <> of_b").select("a", "b")
-
-
-def _members(narrow: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, members, fine) of the ``wanted`` sets (node, least), from a text of each."""
-    # By the id of one of its rows, then by what the row holds.
-    rows = wanted.select(F.col("node").alias("wanted"), F.col("least").alias("least_id"))
-    texts = narrow.join(rows, narrow["id"].eqNullSafe(rows["least_id"])).select("wanted", "text")
-    return texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>, fine binary").where("wanted = node").select("node", "members", "fine").dropDuplicates(["node"])
+def _members(narrow: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(node, members) of the sets in ``pairs``, from the text of one row of each."""
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("node").alias("wanted"), F.col("row.id").alias("of"), F.col("row.text_hash").alias("of_hash")), "wanted")
+    rows = nearby(wanted, wanted.count())
+    texts = narrow.join(rows, (narrow["text_hash"] == rows["of_hash"]) & narrow["id"].eqNullSafe(rows["of"])).select("wanted", "text")
+    found = saved(texts.mapInArrow(_full(k), "wanted binary, node binary, members array<bigint>").where("wanted = node").select("node", "members").dropDuplicates(["node"]), "sets")
+    freed(wanted)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, keyed: bool = False) -> DataFrame:
@@ -373,26 +297,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and are their own component. ``keyed``: with ``text_hash``, the xxhash64 of the row's text, and ``group``, null for texts without words: groups of one ``component_id`` differ in it. Rows with a null id take part: their component is the least id that is not null, or null.
     Repeated rows share a component; a repeated id is kept each time. Other columns of ``docs`` are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    found = saved(narrow.mapInArrow(_scan(k, percent, _levels(narrow, k)), f"id {narrow.schema['id'].dataType.simpleString()}, text_hash long, node binary, n_shingles long, sig binary, rare binary"), "signatures")
+    narrow = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    signed = saved(narrow.mapInArrow(_scan(k, percent, _levels(narrow, k)), f"id {kind}, text_hash long, node binary, n_shingles long, sig binary, rare binary"), "signatures")
     # Equal sets have equal signatures: one of each goes on.
-    groups = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("rare").alias("rare"))
-    nodes = saved(groups, "nodes")
-    pairs = saved(_pairs(nodes.withColumn("component", F.col("node")), percent, WINDOW, 1), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("rare"), "node")
-    sets = saved(_members(narrow, wanted, k), "sets")
-    links, part, left = _linked(pairs, sets, percent)
-    wide = _pairs(wanted.join(part, "node").join(sets.select("node", "fine"), "node"), percent, WIDE, KEPT).join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-    links = links.unionByName(saved(_confirmed(left.unionByName(wide), sets, percent), "links"))
+    groups = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "text_hash")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("rare").alias("rare"))
+    grouped = saved(groups, "groups")
+    found = saved(signed.select("id", "text_hash", "node", "n_shingles"), "found")
+    freed(signed)
+    pairs = saved(_pairs(grouped, percent), "pairs")
+    nodes, rare = saved(grouped.select("node", "least", "row"), "nodes"), saved(grouped.select("node", "n_shingles", "rare"), "rare")
+    freed(grouped)
+    sets = _members(narrow, nodes, pairs, k)
+    links = saved(_confirmed(pairs, sets, percent), "links")
+    early = components(links)
     # All that is left: sets of different components.
-    part = nodes.select("node", "n_shingles", "rare").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = saved(_apart(part, percent), "apart")
-    more = saved(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "least"), "node"), "more")
-    if few := more.count():
-        sets = sets.unionByName(saved(_members(narrow, F.broadcast(more) if few <= FEW else more, k), "sets"))
-    links = links.unionByName(saved(_confirmed(apart, sets, percent), "links"))
-    of = nodes.select("node", "least").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id", F.col("component").alias("group"))
-    out = found.select("id", "text_hash", "node", "n_shingles").join(named, "node", "left")
+    apart = saved(_apart(rare, early, percent), "apart")
+    freed(pairs, sets, links, rare)
+    sets = _members(narrow, nodes, apart, k)
+    links = saved(_confirmed(apart, sets, percent), "links")
+    freed(apart, sets)
+    # These link components, named by one of their sets.
+    one, two = (early.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(between)
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("group"))
+    alone = joined.join(early, "node", "left_anti").select("node", F.col("component").alias("group"))
+    linked = saved(early.join(moved, "component", "left").select("node", F.coalesce("group", "component").alias("group")).unionByName(alone), "linked")
+    named = saved(linked.join(nodes.select("node", "least"), "node").groupBy("group").agg(F.min("least").alias("component_id")), "named")
+    of = saved(nodes.select("node", "least").join(linked, "node", "left").join(named, "group", "left").select("node", F.coalesce("group", "node").alias("group"), F.when(F.col("group").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
+    freed(links, early, joined, linked, named, nodes)
+    out = found.join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), *(["text_hash", "group"] if keyed else []), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
