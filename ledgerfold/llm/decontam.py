@@ -4,6 +4,9 @@ Windows of an item's words are the sets, their word shingles the elements. Shing
 them. A window that a document contains has all its shingles there, so its rarest one alone (the prefix for exact containment) must
 be in the document: only that one is joined. The shingle's place in the window fixes where the window would begin, which must
 leave room for all of it, and the words there are then compared one by one.
+
+Shingles meet without their document's words: one pass over the corpus finds where shingles of windows stand, from which they are
+counted too, and a second one compares the words of each document with its candidates, all in one row.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerfold.llm.native import ascii_lower, let
-from ledgerfold.llm.store import saved
+from ledgerfold.llm.store import freed, saved
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 3
-#: Windows (about 300 bytes each) that are sent to every executor at most; with more, the join shuffles instead.
-BROADCAST_WINDOWS = 200_000
+#: Shingles of windows (one number each, some 40 bytes in a hash table) that are sent to every executor at most; with more, the join deals out both sides.
+BROADCAST_SHINGLES = 1_000_000
 
 #: Between words: ASCII other than letters and digits.
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -46,67 +49,56 @@ def windows(items: DataFrame, id_col: str, text_col: str, width: int) -> tuple[D
     return of.groupBy("window").agg(F.min("words").alias("words")), of.select("window", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW_WORDS, keyed: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW_WORDS, keyed: bool = False, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
     A window is ``width`` consecutive words of an item, or all its words where it has fewer; an item without words (null, empty) has
     none. A document's word inside any occurrence of any window is hit. ``n_items``: ids with an occurring window; ``items_sha256``: of
     these ids as strings, sorted, comma-joined (null id: empty string; equal ids are one item). Null and empty texts have no words and no
-    hits. Repeated rows are judged alike, once each. ``keyed``: with ``text_hash``, the xxhash64 of the row's text. Other columns are not read.
+    hits. Repeated rows are judged alike, once each. ``keyed``: with ``text_hash``, the xxhash64 of the row's text. Other columns are not
+    read. ``broadcast_shingles`` decides how the corpus meets the shingles, not what is found.
     """
-    spark = docs.sparkSession
     whole, of_item = windows(items, item_col, item_text_col, width)
     whole = saved(whole.withColumn("grams", F.least(F.size("words"), F.lit(SHINGLE_WORDS))), "windows")
-    n_windows, lengths = whole.count(), sorted(r[0] for r in whole.select("grams").distinct().collect())
-    small = n_windows <= BROADCAST_WINDOWS
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    worded = base.select("id", F.xxhash64("text").alias("text_hash"), item_words(F.col("text")).alias("words"))
-    empty = F.array().cast("array<struct<gram:bigint,at:int>>")
-    placed = lambda n: F.transform(_grams(F.col("words"), n), lambda g, i: F.struct(g.alias("gram"), i.alias("at")))
+    lengths = sorted(r[0] for r in whole.select("grams").distinct().collect())
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    key = ["id", "text_hash"]
 
-    # How often the corpus holds each shingle of a window.
     gram_of = whole.select("window", "words", "grams", F.posexplode(F.element_at(F.array(*(F.when(F.col("grams") == n, _grams(F.col("words"), n)) for n in range(1, SHINGLE_WORDS + 1))), F.col("grams"))).alias("offset", "gram"))
     gram_of = saved(gram_of, "grams")
-    asked = gram_of.select("gram").distinct()
-    corpus = worded.select(F.explode(F.concat(F.array().cast("array<bigint>"), *(_grams(F.col("words"), n) for n in lengths))).alias("gram"))
-    counts = corpus.join(near(asked), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    rarity = gram_of.join(counts, "gram", "left").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("held", F.lit(0)), "gram", "offset")))
-    prefix = saved(rarity.where("rank = 1 and held is not null").select("gram", "offset", "window", F.col("words").alias("wanted")), "prefixes")
+    asked = saved(gram_of.select("gram").distinct(), "asked")
+    near = (lambda df: F.broadcast(df)) if asked.count() <= broadcast_shingles else (lambda df: df)
 
-    # Each document's shingles, and one row more that holds its own figures.
-    mark = F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(-1).alias("at")))
-    rows = worded.withColumn("g", F.explode(F.concat(mark, empty, *(placed(n) for n in lengths))))
-    prefixed = rows.select("id", "text_hash", "words", "g.gram", "g.at")
-    own = F.col("at") == -1
-    if small:
-        found = prefixed.join(F.broadcast(prefix), "gram", "left").where(own | F.col("window").isNotNull())
-    else:
-        # Shingles meet without their document's words; only candidates fetch them.
-        candidates = prefixed.where(~own).select("id", "text_hash", "gram", "at").join(prefix, "gram")
-        texts = worded.dropDuplicates(["id", "text_hash"]).select(F.col("id").alias("of"), F.col("text_hash").alias("of_hash"), "words")
-        met = candidates.join(texts, F.col("id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_hash"))).drop("of", "of_hash")
-        found = met.unionByName(prefixed.where(own), allowMissingColumns=True)
-    begin = F.col("at") - F.col("offset")
-    fits = (begin >= 0) & (begin + F.size("wanted") <= F.size("words"))
-    real = own | (fits & (F.slice("words", begin + 1, F.size("wanted")) == F.col("wanted")))
-    hits = saved(found.where(F.coalesce(real, F.lit(False))).select("id", "text_hash", F.size("words").alias("n_words"), F.when(~own, begin).alias("begin"), F.when(~own, F.size("wanted")).alias("width"), F.when(~own, F.col("window")).alias("window")), "hits")
+    # Where the corpus holds shingles of windows. Rows of one id and text say the same, so one of each place is enough.
+    placed = [F.transform(_grams(F.col("words"), n), lambda g, i: F.struct(g.alias("gram"), i.alias("at"))) for n in lengths]
+    worded = base.select(*key, item_words(F.col("text")).alias("words"))
+    every = worded.select(*key, F.explode(F.concat(F.array().cast("array<struct<gram:bigint,at:int>>"), *placed)).alias("g")).select(*key, "g.gram", "g.at")
+    stand = saved(every.join(near(asked), "gram"), "places")
 
-    key = ["id", "text_hash"]
-    marks = hits.where("window is null")
-    at = hits.where("window is not null").select(*key, "begin", "width").distinct()
-    # Covered words: what each occurrence adds to the furthest end before it.
-    w = Window.partitionBy(*key).orderBy("begin", "width").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("begin") + F.col("width")
-    added = at.withColumn("before", F.coalesce(F.max(end).over(w), F.lit(0))).withColumn("adds", F.greatest(F.lit(0), end - F.greatest("begin", "before")))
-    covered = added.groupBy(*key).agg(F.sum("adds").alias("n_hit"))
-    named = hits.where("window is not null").select(*key, "window").distinct().join(near(of_item) if small else of_item, "window").select(*key, "item_id").distinct()
+    counts = stand.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    rarity = gram_of.join(counts, "gram", "left").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("held", F.lit(0)), "gram", "offset")))
+    prefix = saved(rarity.where("rank = 1 and held is not null").select("gram", "offset", "window", F.col("words").alias("wanted")), "prefixes")
+    candidates = stand.join(prefix, "gram").withColumn("begin", F.col("at") - F.col("offset")).where("begin >= 0")
+    by_text = saved(candidates.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("begin", "window", "wanted"))).alias("asked")), "candidates")
+    freed(stand, gram_of, asked)
+
+    # Each document with its candidates: those whose words are there, and the words that they cover, from left to right.
+    a, b = base.alias("a"), by_text.alias("b")
+    met = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_hash") == F.col("b.text_hash")), "left").select("a.id", "a.text_hash", "a.text", "b.asked")
+    none = F.array().cast(by_text.schema["asked"].dataType)
+    real = lambda w: F.filter(F.coalesce("asked", none), lambda c: (c["begin"] + F.size(c["wanted"]) <= F.size(w)) & (F.slice(w, c["begin"] + 1, F.size(c["wanted"])) == c["wanted"]))
+    judged = met.select(*key, let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), real(w).alias("hits"))).alias("r"))
+    end = lambda c: c["begin"] + F.size(c["wanted"])
+    step = lambda s, c: F.struct((s["n"] + F.greatest(F.lit(0), end(c) - F.greatest(c["begin"], s["to"]))).alias("n"), F.greatest(s["to"], end(c)).alias("to"))
+    n_hit = F.aggregate("r.hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step)["n"].cast("bigint")
+    hits = saved(judged.select(*key, "r.n_words", n_hit.alias("n_hit"), F.array_distinct(F.transform("r.hits", lambda c: c["window"])).alias("windows")), "hits")
+
+    named = hits.where("n_hit > 0").select(*key, F.explode("windows").alias("window")).distinct().join(of_item, "window").select(*key, "item_id").distinct()
     listed = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("ids"))
-    m, c, n = marks.alias("m"), covered.alias("c"), listed.alias("n")
-    same = lambda x: F.col("m.id").eqNullSafe(F.col(f"{x}.id")) & (F.col("m.text_hash") == F.col(f"{x}.text_hash"))
-    n_hit = F.coalesce("c.n_hit", F.lit(0)).cast("bigint")
-    return m.join(c, same("c"), "left").join(n, same("n"), "left").select(
-        F.col("m.id").alias(id_col), *([F.col("m.text_hash").alias("text_hash")] if keyed else []), F.col("m.n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n.n_items", F.lit(0)).cast("bigint").alias("n_items"),
-        F.sha2(F.coalesce("n.ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    listed = saved(listed, "listed")
+    freed(by_text, prefix)
+    m, n = hits.select(*key, "n_words", "n_hit").alias("m"), listed.alias("n")
+    return m.join(n, F.col("m.id").eqNullSafe(F.col("n.id")) & (F.col("m.text_hash") == F.col("n.text_hash")), "left").select(
+        F.col("m.id").alias(id_col), *([F.col("m.text_hash").alias("text_hash")] if keyed else []), "m.n_words", "m.n_hit", F.coalesce("n.n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce("n.ids", F.lit("")), 256).alias("items_sha256"), (F.col("m.n_hit") > 0).alias("contaminated"),
     )
