@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.store import small_batches
+
 #: Fixed patterns of the strict kinds, each with its least length and the group that the length is of.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -63,7 +65,7 @@ def strict_spans(text: str) -> list[Span]:
 
 
 def weak_spans(text: str, strict: list[Span]) -> list[Span]:
-    """Weak parts that lie in no strict span."""
+    """Weak parts that no strict span overlaps."""
     found = []
     if ":" in text or "=" in text:
         found += [Span("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
@@ -71,13 +73,15 @@ def weak_spans(text: str, strict: list[Span]) -> list[Span]:
     if "://" in text:
         found += [Span("endpoint", *m.span()) for m in ADDRESS.finditer(text)]
     found += [Span("material", *m.span()) for m in MATERIAL.finditer(text) if _random_looking(m[0])]
-    covers = sorted((s.start, s.end) for s in strict)
-    out = []
-    for s in found:
-        at = bisect_left(covers, (s.end, -1))
-        if not any(b > s.start for _, b in covers[max(0, at - 3) : at]):
-            out.append(s)
-    return out
+    # Strict spans that overlap or touch are one cover, so that the last that begins before a part's end is the only one to ask.
+    covers: list[list[int]] = []
+    for a, b in sorted((s.start, s.end) for s in strict):
+        if covers and a <= covers[-1][1]:
+            covers[-1][1] = max(covers[-1][1], b)
+        else:
+            covers.append([a, b])
+    before = lambda s: covers[at - 1][1] if (at := bisect_left(covers, [s.end])) else -1
+    return [s for s in found if before(s) <= s.start]
 
 
 def linked(strict: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
@@ -125,7 +129,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Whole texts are searched; null and empty ones have no spans. Repeated rows are searched each by itself. Other columns are not read.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = narrow.mapInArrow(_scan, f"id {narrow.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,weak:boolean>>")
     return found.select(F.col("id").alias(id_col), "spans")
 
