@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerfold.llm.native import LOWER, UPPER
 
-#: Entries (some hundred bytes each) that the broadcast trie holds at most; with more, rules are joined by host.
-TRIE_RULES = 100_000
+#: Bytes of entries that the broadcast trie holds at most (some ten times as much in Python); with more, rules are joined by host.
+TRIE_BYTES = 4 << 20
 
 Rule = tuple[str, str, str]
 
@@ -87,7 +87,8 @@ def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same for any number of rules (verdict, entry): a url meets the rules of its host's suffixes."""
     host = F.translate(F.substring_index("entry", "/", 1), UPPER, LOWER)
     entry_path = F.when(F.instr("entry", "/") > 0, F.expr("substr(entry, instr(entry, '/'))")).otherwise("")
-    held = rules.select(host.alias("suffix"), entry_path.alias("entry_path"), "entry", "verdict").dropDuplicates(["suffix", "entry_path"])
+    last = F.max_by(F.struct("entry", "verdict"), _standing(F.col("entry"), F.col("verdict"), F.col("order"))).alias("last")
+    held = rules.groupBy(host.alias("suffix"), entry_path.alias("entry_path")).agg(last).select("suffix", "entry_path", "last.entry", "last.verdict")
     pages = urls.select("host", "path").distinct()
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
@@ -97,20 +98,31 @@ def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     return urls.join(best, ["host", "path"], "left").withColumn("rule", F.col("best.entry")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def _standing(entry: Column, verdict: Column, order: Column) -> Column:
+    """Of rules for one host and path the one that is greatest by this counts."""
+    return F.struct(order.cast("double"), verdict == "block", entry)
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row for each row of ``pages``: id, ``host``, ``path``, ``rule`` (the entry that decides, or null), ``verdict``.
 
-    ``rules``: (verdict, entry) pairs, or a DataFrame with these columns. Up to TRIE_RULES go to all executors as a trie, more are
-    joined by host. ``default`` is the verdict where no rule fits: null and empty urls, and those without ``://``, have an empty host
+    ``rules``: (verdict, entry) pairs, or a DataFrame with these columns and perhaps a number ``order``. Of rules for the same host and path
+    the last of a list counts, of a DataFrame the one of the greatest ``order``; of equal ones block, then the greatest entry. Entries that
+    are null count for nothing. Up to ``trie_bytes`` of them go to all executors as a trie, more are joined by host, with the same result.
+    ``default`` is the verdict where no rule fits: null and empty urls, and those without ``://``, have an empty host
     and path, which none fits. Repeated rows are judged alike. Other columns of ``pages`` are not read.
     """
     host, path = parts(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    if not isinstance(rules, DataFrame):
+        if sum(len(entry.encode()) for _, entry in rules) > trie_bytes:
+            rules = pages.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rules)], "verdict string, entry string, order long")
     if isinstance(rules, DataFrame):
-        if rules.count() > TRIE_RULES:
+        order = F.coalesce(F.col("order").cast("double"), F.lit(0.0)) if "order" in rules.columns else F.lit(0.0)
+        rules = rules.where("entry is not null").select("verdict", "entry", order.alias("order"))
+        if (rules.agg(F.sum(F.octet_length("entry"))).first()[0] or 0) > trie_bytes:
             return _by_join(urls, rules, default).select(id_col, "host", "path", "rule", "verdict")
-        rules = [(r["verdict"], r["entry"]) for r in rules.select("verdict", "entry").collect()]
-    elif len(rules) > TRIE_RULES:
-        return _by_join(urls, pages.sparkSession.createDataFrame(rules, "verdict string, entry string"), default).select(id_col, "host", "path", "rule", "verdict")
+        ordered = sorted(rules.collect(), key=lambda r: (r["order"], r["verdict"] == "block", r["entry"].encode()))
+        rules = [(r["verdict"], r["entry"]) for r in ordered]
     id_type = urls.schema[id_col].dataType.simpleString()
     return urls.mapInArrow(_by_trie(trie(rules), default), f"`{id_col}` {id_type}, host string, path string, rule string, verdict string")
