@@ -108,33 +108,65 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (1 - unlike / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
+def _number(value: Column, kind: str, skip: int = 0) -> Column:
+    """A number that is never less for a greater value: for text, of the six bytes after the first ``skip``."""
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), F.lit(skip + 1), F.lit(6))), 12, "0"), 16, 10).cast("double")
+    return (value.cast("timestamp") if kind in ("date", "timestamp_ntz") else value.cast("int") if kind == "boolean" else value).cast("double")
+
+
+def _common(first: str | bytes | None, last: str | bytes | None) -> int:
+    """Bytes that the least and the greatest of some texts, and so all, begin with."""
+    first, last = (x.encode() if isinstance(x, str) else bytes(x or b"") for x in (first or "", last or ""))
+    return next((i for i, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
+
+
 def with_next(docs: DataFrame, order: str, tie: str, carried: list[str]) -> DataFrame:
     """``docs`` with ``next_<column>`` of each carried column: from the following row by descending ``order``, after the last from the first.
 
     Rows are dealt to blocks of neighbouring ``order`` values (cut points from one aggregate over that column, each stretch between them
     in equal parts) and each block also gets the first row of the block after it, so that no order over all rows is needed.
-    Equal values of ``order`` follow by ``tie``; null values come last. Numeric ``order``.
+    Equal values of ``order`` follow by ``tie``, a text; null values come last. Where nulls or one number hold many rows, blocks divide
+    these by ``tie`` in the same way. ``order``: numbers, times or texts; texts are dealt by the six bytes after what all begin with.
     """
-    n = docs.count()
+    kind = docs.schema[order].dataType.simpleString()
+    textual = kind in ("string", "binary")
+    n, held, low, high = docs.agg(F.count(F.lit(1)), F.count(order), *((F.min(order), F.max(order)) if textual else (F.lit(None), F.lit(None)))).first()
     cuts = min(CUTS, max(1, n // BLOCK_ROWS))
     parts = min(PARTS, max(1, n // (BLOCK_ROWS * cuts)))
-    points = docs.agg(F.percentile_approx(order, [i / cuts for i in range(cuts + 1)], max(10_000, 10 * cuts)).alias("p")).first()["p"] or [0]
-    points = sorted(set(points), reverse=True)  # the greatest first
+    value = _number(F.col(order), kind, _common(low, high))
+    steps, exact = [i / cuts for i in range(cuts + 1)], max(10_000, 10 * cuts)
+    given = docs.agg(F.percentile_approx(value, steps, exact).alias("p")).first()["p"] or [0.0]
+    points = sorted(set(given), reverse=True)  # the greatest first
+    # Values that fill a stretch alone; only numbers that are whole as doubles are told apart by them.
+    heavy = [x for x in points if given.count(x) > 2] if not textual else []
     spans = max(1, len(points) - 1)
-    high, low = [*points[:-1], points[0]][:spans], [*points[1:], points[-1]][:spans]
-    value = F.col(order)
+    tops, bottoms = [*points[:-1], points[0]][:spans], [*points[1:], points[-1]][:spans]
     span = F.least(F.size(F.filter(F.lit(points[1:] or points), lambda c: c > value)), F.lit(spans - 1))
-    top, bottom = (F.get(F.lit([float(x) for x in side]), span) for side in (high, low))
-    part = F.floor((top - value.cast("double")) / (top - bottom + 1) * parts)
-    block = F.when(value.isNull(), F.lit(spans * parts)).otherwise(span * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))).cast("int")
-    dealt = docs.withColumn("__block", block)
-    # One row for each block: at most CUTS * PARTS + 1 = 65,537.
-    heads = dealt.groupBy("__block").agg(F.max(order).alias("__head"), F.lit(1).alias("__one"))
+    top, bottom = (F.get(F.lit([float(x) for x in side]), span) for side in (tops, bottoms))
+    part = F.floor((top - value) / (top - bottom + 1) * parts)
+    block = F.when(value.isNull(), F.lit(spans * parts)).otherwise(span * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))).cast("bigint")
+    crowded = value.isin(heavy) & (value.cast(kind) == F.col(order)) if heavy else F.lit(False)
+    many, seconds, beside = F.coalesce(F.col(order).isNull() | crowded, F.lit(False)), [], F.lit(0.0)
+    if heavy or held < n:
+        crowd = docs.where(many)
+        first, last = crowd.agg(F.min(tie), F.max(tie)).first()
+        beside = _number(F.col(tie), "string", _common(first, last))
+        seconds = sorted(set(crowd.agg(F.percentile_approx(beside, steps, exact).alias("p")).first()["p"] or []))
+    # Within a block: what is above a heavy value, its own rows by tie, what is below it.
+    level = 2 * F.coalesce(F.size(F.filter(F.lit(heavy or [float("-inf")]), lambda c: c > value)), F.lit(0)) + many.cast("int")
+    finer = F.when(many, F.size(F.filter(F.lit(seconds or [0.0]), lambda c: c < beside))).otherwise(0)
+    width = len(seconds) + 2
+    dealt = docs.withColumn("__block", block * ((2 * len(heavy) + 2) * width) + level * width + finer)
+    # One row for each block: at most CUTS * PARTS + 1 blocks, and CUTS more for each heavy value and for null.
     line = Window.partitionBy("__one").orderBy("__block")
+    head_tie = F.min(F.when(many, F.col(tie))) if seconds else F.lit(None).cast("string")
+    heads = dealt.groupBy("__block").agg(F.max(order).alias("__head"), F.xxhash64(head_tie).alias("__head_tie"), F.lit(1).alias("__one"))
     before = F.coalesce(F.lag("__block").over(line), F.max("__block").over(Window.partitionBy("__one")))
-    heads = heads.select(F.col("__block").alias("__of"), "__head", before.alias("__before"))
+    heads = heads.select(F.col("__block").alias("__of"), "__head", "__head_tie", before.alias("__before"))
     here, there = F.struct(F.col("__block").alias("block"), F.lit(0).alias("guest")), F.struct(F.col("__before").alias("block"), F.lit(1).alias("guest"))
-    placed = dealt.join(F.broadcast(heads), F.col("__block") == F.col("__of")).withColumn("__at", F.explode(F.when(value.eqNullSafe(F.col("__head")), F.array(here, there)).otherwise(F.array(here))))
+    leads = F.col(order).eqNullSafe(F.col("__head")) & (~many | (F.xxhash64(tie) == F.col("__head_tie")))
+    placed = dealt.join(F.broadcast(heads), F.col("__block") == F.col("__of")).withColumn("__at", F.explode(F.when(leads, F.array(here, there)).otherwise(F.array(here))))
     w = Window.partitionBy("__at.block").orderBy("__at.guest", F.col(order).desc_nulls_last(), F.col(tie).asc_nulls_first())
     following = placed.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
     return following.where("__at.guest = 0").select(*docs.columns, *(f"next_{c}" for c in carried))
@@ -145,7 +177,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text is the text with its last third (in code points, rounded down) replaced by as many of the first of the next
     document by descending id. Null texts count as empty; texts without words have a fingerprint of zeros and are alike.
-    Equal texts have equal fingerprints. A repeated id follows in order of its texts; null ids come last. A table of one row is its own next.
+    Equal texts have equal fingerprints. Ids: numbers, times or texts. A repeated id follows in order of its texts; null ids come last. A table of one row is its own next.
     Other columns of ``docs`` are not read.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
