@@ -17,6 +17,8 @@ from ledgerfold.llm.store import saved
 
 #: Fractions that meet in one block of the tree.
 FAN_IN = 64
+#: Rows that are equal in all columns which one step numbers.
+ALIKE = 4_096
 #: Weights of the sources by code point of their names, repeating; share of all words to take; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
@@ -81,14 +83,19 @@ def _fold(items: Column, salt: Column, held_type: str) -> Column:
 def rounded(items: DataFrame, seed: int = 5) -> DataFrame:
     """``items`` (source, id, size > 0, p) with ``x``, 0 or 1 at random with expectation ``p``, the sum of size * x of a source within one size of that of size * p.
 
-    Same rows, same result. Rows may repeat and ids may be null. Blocks of about FAN_IN rows meet at each level of the tree.
+    Same rows, same result, however they are dealt. Rows may repeat and ids may be null: rows that are equal in all columns are counted,
+    and numbered from there, so that they lie in different blocks. Blocks of about FAN_IN rows meet at each level of the tree.
     """
     held_type = f"struct<id:{items.schema['id'].dataType.simpleString()},size:bigint>"
     counted = items.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
     most = counted.agg(F.max("rows")).first()[0] or 0
     # As many rows as there are sources: with the rows, so that each row knows how many blocks its source has.
-    blocked = items.join(counted, items["source"].eqNullSafe(counted["source"])).drop(counted["source"])
-    hashed = F.xxhash64("id", F.lit(seed))
+    alike = items.groupBy("source", "id", "size", "p").agg(F.count(F.lit(1)).alias("alike"))
+    # Two steps, so that no task numbers more than ALIKE equal rows alone.
+    runs = alike.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("alike") - 1) / ALIKE))).alias("run")).repartition("source", "id", "size", "run")
+    numbered = runs.select("source", "id", "size", "p", F.explode(F.sequence(F.col("run") * ALIKE, F.least(F.col("alike"), (F.col("run") + 1) * ALIKE) - 1)).alias("number"))
+    blocked = numbered.join(counted, numbered["source"].eqNullSafe(counted["source"])).drop(counted["source"])
+    hashed = F.xxhash64("id", "size", "number", F.lit(seed))
     level = blocked.select("source", F.pmod(hashed, F.ceil(F.col("rows") / FAN_IN)).alias("block"), hashed.alias("place"), _item(F.struct("id", F.col("size").cast("bigint").alias("size")), F.col("size"), F.col("p")).alias("item"))
     outs, depth = [], 0
     while True:
