@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, tree int, node string"
+#: The columns of documents, some whose names operators use inside, and such as these return.
+COLUMNS = "text string, lang string, source string, n_chars long, id string, tree int, node string"
+TAKEN = ["key", "copy", "score", "text_hash", "__key", "__copy", "__score", "of", "starts", "size", "each", "times", "n_hit", "words", "label", "n_lines_"]
+SCHEMA = f"doc_id long, {COLUMNS}"
 LONG = "word " * 40_000 + "end " + "x" * 70_000
 #: Nulls, empty, blank and very long texts, repeated rows, a null id, and columns whose names the operators use inside.
 ODD = [
@@ -14,11 +18,21 @@ ODD = [
 ]
 
 
+def crowded(df):
+    return df.withColumns({c: F.lit(f"own {c}") for c in TAKEN})
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA)
+    return crowded(spark.createDataFrame(ODD, SCHEMA))
+
+
+@pytest.fixture(scope="session")
+def odd_named(spark):
+    """The same rows with texts as ids."""
+    return crowded(spark.createDataFrame([(None if r[0] is None else f"doc {r[0]}", *r[1:]) for r in ODD], f"doc_id string, {COLUMNS}"))
 
 
 @pytest.fixture(scope="session")
 def nothing(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return crowded(spark.createDataFrame([], SCHEMA))

@@ -152,6 +152,28 @@ def test_next_of_many_blocks(spark):
     assert sorted((r["t"], r["next_t"]) for r in got) == want
 
 
+@pytest.mark.parametrize("kind", ["a third null", "a third one number", "texts", "texts with one beginning"])
+def test_next_in_crowds(spark, kind):
+    rng = random.Random(4)
+    ids = [i if i % 3 else None if "null" in kind else 900 if "number" in kind else i for i in rng.sample(range(3000), 1500)]
+    if "texts" in kind:
+        ids = [f"{'https://example.org/' if 'beginning' in kind else ''}{i:x}" for i in ids]
+    df = spark.createDataFrame([(i, f"t{rng.randrange(10**6)}") for i in ids], f"id {'string' if 'texts' in kind else 'long'}, t string").repartition(5)
+    old = fingerprint.BLOCK_ROWS
+    fingerprint.BLOCK_ROWS = 40
+    try:
+        found = fingerprint.with_next(df, "id", "t", ["t"])
+        got = sorted((r["t"], r["next_t"]) for r in found.collect())
+        most = max(len(p) for p in found.rdd.glom().collect())
+    finally:
+        fingerprint.BLOCK_ROWS = old
+    order = [t for _, t in sorted(sorted(map(tuple, df.collect()), key=lambda r: r[1]), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)] if "texts" in kind else None
+    if order is None:
+        order = [t for _, t in sorted(map(tuple, df.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert got == sorted(zip(order, [*order[1:], order[0]], strict=True))
+    assert most < 1200
+
+
 def test_mixture(spark, docs):
     a, b = (sorted(map(tuple, mixing.mixture(d).select("doc_id", "size", "source_size", "target", "copies", "taken", "source").collect())) for d in (docs, docs.repartition(5)))
     assert a == b
@@ -284,5 +306,5 @@ def test_offending_sentence(spark):
 def test_temperature_and_pooling(spark, docs):
     model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
     a = {r["doc_id"]: r["score"] for r in quality.quality(docs, model).collect()}
-    b = {r["doc_id"]: r["__score"] for r in quality.scored(docs, model).collect()}
+    b = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
     assert a == b and model.temperature > 0

@@ -37,6 +37,28 @@ def test_one_row_each(spark, odd, nothing, name):
     assert RUNS[name](spark, nothing).collect() == []
 
 
+@pytest.mark.parametrize("name", RUNS)
+def test_ids_that_are_texts(spark, odd_named, name):
+    if name in ("toxicity", "quality"):
+        marks = labels(spark).withColumn("doc_id", F.concat(F.lit("doc "), "doc_id"))
+        fit = {"toxicity": lambda: toxicity.toxicity(odd_named, toxicity.fit(odd_named, marks)), "quality": lambda: quality.quality(odd_named, quality.fit(odd_named, marks))}[name]
+    else:
+        fit = lambda: RUNS[name](spark, odd_named)
+    ids = sorted(r["doc_id"] or "" for r in fit().collect())
+    assert ids == sorted(r["doc_id"] or "" for r in odd_named.collect())
+
+
+def test_other_columns_stay(spark, odd):
+    cut = linedup.without_repeats(odd)
+    own = lambda df, text: sorted((tuple(r[c] for c in odd.columns if c != "text" or text) for r in df.collect()), key=repr)
+    assert cut.columns == [*odd.columns, "n_lines", "n_removed"] and own(cut, False) == own(odd, False)
+    model = quality.fit(odd, labels(spark))
+    scored = quality.scored(odd, model, score_col="quality")
+    assert scored.columns == [*odd.columns, "quality"] and own(scored, True) == own(odd, True)
+    with pytest.raises(ValueError):
+        quality.scored(odd, model)
+
+
 def test_no_labels_and_no_items(spark, odd):
     none = spark.createDataFrame([], LABELS)
     assert all(0 <= r["score"] <= 1 for r in toxicity.toxicity(odd, toxicity.fit(odd, none)).collect())
@@ -54,7 +76,8 @@ def test_defined_results(spark, odd):
     lang = by(RUNS["languages"](spark, odd), "lang_pred")
     assert lang[1] == lang[2] == lang[8] == "und" and lang[9] == "nl"
     lines = linedup.without_repeats(odd)
-    assert sorted(r["n_removed"] for r in lines.where("doc_id in (5, 6)").collect()) == [0, 2, 2]
+    # Both rows of document 5 are one document, which stands first.
+    assert sorted((r["doc_id"], r["n_removed"] > 0) for r in lines.where("doc_id in (5, 6)").collect()) == [(5, False), (5, False), (6, True)]
     assert by(lines, "text")[1] is None and by(lines, "text")[6] == ""
     hit = by(decontam.contamination(odd, items(spark)), "n_hit")
     assert hit[5] == 6 and hit[None] == 5 and hit[1] == 0
@@ -72,6 +95,18 @@ def test_urls(spark):
     assert got[4] == ("example.org", "", None, "allow") and got[5][2:] == ("example.org/es/", "block")
     assert got[6][2:] == ("com/fr/", "allow") and got[7][2:] == ("com/de/", "block") and got[8][2:] == ("com/fr/", "allow")
     assert got[9] == ("org", "", None, "allow") and got[10][2:] == ("org/", "allow") and got[11] == ("b:", "//c/d", None, "allow")
-    joined = urlfilter._by_join(urlfilter.judged(pages, []).select("page_id", "host", "path"), spark.createDataFrame(rules, "verdict string, entry string"), "allow")
+    joined = urlfilter.judged(pages, rules, trie_bytes=0)
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in joined.collect()} == got
     assert urlfilter.judged(pages.where("false"), rules).count() == 0
+
+
+def test_rules_that_meet(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.org/y")], "page_id long, url string")
+    rules = [("allow", "org/"), ("block", "org/"), ("block", "b.org/"), ("allow", "B.org/")]
+    want = {1: ("org/", "block"), 2: ("B.org/", "allow")}
+    run = lambda rules, **how: {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judged(pages, rules, **how).collect()}
+    assert run(rules) == run(rules, trie_bytes=0) == want
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "verdict string, entry string, order int").repartition(4)
+    assert run(numbered) == run(numbered, trie_bytes=0) == want
+    plain = spark.createDataFrame([*rules, ("allow", None)], "verdict string, entry string")
+    assert run(plain) == run(plain, trie_bytes=0) == {1: ("org/", "block"), 2: ("b.org/", "block")}
