@@ -20,7 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            found = saved(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            freed(now)
+            return found
         before = after
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = saved(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
