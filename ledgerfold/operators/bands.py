@@ -53,6 +53,62 @@ def security_multiple(rows: DataFrame, fit: tuple[DataFrame, DataFrame, DataFram
     return joined.withColumn("multiple", F.coalesce("by_entity", "by_method", "overall")).drop("by_entity", "by_method", "overall")
 
 
+#: An award that a security implies is believed up to so many times the greatest award ever seen.
+IMPLIED_CEILING = 5.0
+#: Rows a week needs to be scored, rows a fit needs, and earlier weeks whose misses make a week's band.
+WEEK_ROWS, FIT_ROWS, BAND_WEEKS = 20, 50, 4
+
+
+def attached_security(awards: DataFrame, details: DataFrame) -> DataFrame:
+    """``awards`` with ``security_bdt``: its own, else that of the last detail page of its tender (by fetch time, then greatest)."""
+    last = details.groupBy("tender_id").agg(F.max_by("security_bdt", F.struct("fetched_at", "security_bdt")).alias("__detail"))
+    own = F.col("security_bdt").cast("double") if "security_bdt" in awards.columns else F.lit(None).cast("double")
+    return awards.withColumn("security_bdt", own).join(last, "tender_id", "left").withColumn("security_bdt", F.coalesce("security_bdt", F.col("__detail").cast("double"))).drop("__detail")
+
+
+def believed(multiple: Column, security_lakh: Column, max_lakh: Column) -> Column:
+    """The award that a security implies; null, so that the row falls to history, without a security or past any award ever seen."""
+    implied = F.when(security_lakh > 0, F.exp(multiple) * security_lakh)
+    return F.when((F.coalesce(max_lakh, F.lit(0.0)) <= 0) | (implied <= IMPLIED_CEILING * max_lakh), implied)
+
+
+def weekly_misses(rows: DataFrame, weeks: int = 30) -> DataFrame:
+    """(week, place, method, pe_id, lakh, multiple, miss): rows of the last ``weeks`` weeks, priced by a fit on all rows before their week.
+
+    ``rows``: (tender_id, signed_on, pe_id, method, lakh, security_lakh), believable ones. ``multiple`` is the buyer's shrunk median log
+    multiple, else its method's, else the overall one. Weeks begin on Mondays; thin ones and those with too little before them are left
+    out, and ``place`` numbers the others. Earlier rows are counted by value first, and medians take the counts as weights.
+    """
+    r = F.log(F.col("lakh") / F.col("security_lakh"))
+    dated = rows.withColumn("week", F.date_trunc("week", F.col("signed_on").cast("date")).cast("date")).withColumn("r", r)
+    asked = dated.groupBy("week").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("week")).limit(weeks).where(F.col("n") >= WEEK_ROWS).select("week")
+    counts = dated.groupBy(F.col("week").alias("of"), "pe_id", "method", "r").agg(F.count(F.lit(1)).alias("c"))
+    # A few weeks meet all values before them.
+    earlier = counts.join(F.broadcast(asked), F.col("of") < F.col("week"))
+    median = F.percentile("r", 0.5, F.col("c"))
+    overall = earlier.groupBy("week").agg(median.alias("overall"), F.sum("c").alias("seen")).where(F.col("seen") >= FIT_ROWS)
+    by_method = earlier.where("method <> ''").groupBy("week", "method").agg(median.alias("by_method"), F.sum("c").alias("k")).where(F.col("k") >= METHOD_ROWS).drop("k")
+    own = earlier.where("pe_id <> ''").groupBy("week", "pe_id").agg(median.alias("own"), F.sum("c").alias("k"))
+    # The method of a buyer's first row is the same for all later weeks.
+    first = dated.groupBy("pe_id").agg(F.min_by("method", F.struct("signed_on", "tender_id", "method")).alias("method"))
+    drawn = own.join(first, "pe_id").join(by_method, ["week", "method"], "left").join(F.broadcast(overall), "week")
+    fallback = F.coalesce("by_method", "overall")
+    by_entity = drawn.select("week", "pe_id", ((F.col("own") * F.col("k") + fallback * SHRINK) / (F.col("k") + SHRINK)).alias("by_entity"))
+    placed = overall.select("week", "overall", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("week")).alias("place"))  # a row a week
+    priced = dated.join(F.broadcast(placed), "week").join(by_entity, ["week", "pe_id"], "left").join(by_method, ["week", "method"], "left")
+    multiple = F.coalesce("by_entity", "by_method", "overall")
+    return priced.select("week", "place", "method", "pe_id", "lakh", "security_lakh", multiple.alias("multiple"), (F.col("r") - multiple).alias("miss"))
+
+
+def weekly_bands(misses: DataFrame) -> DataFrame:
+    """(week, n, lo, hi, coverage, mape, width): each week's band is that of the misses of the BAND_WEEKS weeks before it."""
+    pooled = misses.select("miss", F.explode(F.sequence(F.col("place") + 1, F.col("place") + BAND_WEEKS)).alias("for"))
+    edges = banded(pooled, ["for"], "miss").select("for", "lo", "hi")
+    scored = misses.where(F.col("place") > BAND_WEEKS).join(F.broadcast(edges), F.col("place") == F.col("for"))  # a row a week
+    held = F.col("miss").between(F.col("lo"), F.col("hi")).cast("double")
+    return scored.groupBy("week", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.avg(held).alias("coverage"), F.percentile(F.abs(F.exp(-F.col("miss")) - 1), 0.5).alias("mape"), F.first(F.exp(F.col("hi") - F.col("lo"))).alias("width"))
+
+
 def weekly_medians(rows: DataFrame, weeks: int = 26) -> DataFrame:
     """(week, n, centre, miss): each of the last weeks priced by the median log multiple of all earlier weeks.
 
@@ -86,6 +142,24 @@ def plan_fit(pairs: DataFrame) -> DataFrame:
     return own.unionByName(banded(logs, [], "r").withColumn("method", F.lit(None).cast("string")))
 
 
+def plan_halves(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """One row: fitted on the earlier half of the pairs by ``order``, scored on the later one.
+
+    (n, n_test, test_from, median_ratio, raw_error, mape, coverage, width). Rows are ranked by ranges, so no task holds all of them.
+    """
+    placed = ranks.ranked(pairs.withColumn("__at", F.struct(*order)), [], "__at")
+    later = F.col("__i") >= F.floor(F.col("__n") / 2)
+    fit = plan_fit(placed.where(~later).select("method", "ratio"))
+    own = fit.where("method is not null").select("method", "centre", "lo", "hi")
+    pooled = fit.where("method is null").select(*(F.col(c).alias(f"all_{c}") for c in ("centre", "lo", "hi")))
+    test = placed.where(later).join(F.broadcast(own), "method", "left").crossJoin(F.broadcast(pooled))  # a row a method, and one
+    centre, lo, hi = (F.coalesce(c, f"all_{c}") for c in ("centre", "lo", "hi"))
+    r = F.log("ratio")
+    scored = test.agg(F.count(F.lit(1)).alias("n_test"), F.min("signed_on").alias("test_from"), F.percentile(F.abs(F.exp(centre - r) - 1), 0.5).alias("mape"), F.avg(r.between(lo, hi).cast("double")).alias("coverage"), F.percentile(F.exp(hi - lo), 0.5).alias("width"))
+    every = pairs.agg(F.count(F.lit(1)).alias("n"), F.percentile("ratio", 0.5).alias("median_ratio"), F.percentile(F.abs(1 / F.col("ratio") - 1), 0.5).alias("raw_error"))
+    return every.crossJoin(scored)  # one row each
+
+
 def plan_gate(tested: int, error: float | None, coverage: float | None, rival: float | None) -> tuple[bool, str]:
     """Whether the plan route may serve, and why."""
     if tested < PLAN_TESTED:

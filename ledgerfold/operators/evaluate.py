@@ -76,16 +76,27 @@ def macro_f1(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return per.agg(F.round(F.avg(F.coalesce(F.try_divide(2.0 * F.col("hit"), F.col("true") + F.col("said")), F.lit(0.0))), 4).alias("macro_f1"), F.count(F.lit(1)).alias("classes"))
 
 
+#: Buckets that the rows of a bootstrap are counted in: a bucket's draws are Poisson with its count as mean.
+BOOT_BUCKETS = 64
+
+
 def bootstrap_coverage(rows: DataFrame, resamples: int = 400, seed: int = 0) -> DataFrame:
-    """(lo, hi): 2.5 and 97.5 percent of the coverage over Poisson resamples, one pass over the rows."""
-    drawn = rows.select(inside().cast("double").alias("hit"), F.xxhash64(*rows.columns).alias("h")).select("hit", "h", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = F.pmod(F.xxhash64("h", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, cut, term = F.lit(0), 0.0, 0.36787944117144233  # e^-1
-    for k in range(1, 9):
-        cut += term
-        weight = weight + (u >= cut).cast("int")
-        term /= k
-    per = drawn.withColumn("w", weight).groupBy("b").agg((F.sum(F.col("hit") * F.col("w")) / F.sum("w")).alias("c"))
+    """(lo, hi): 2.5 and 97.5 percent of the coverage over Poisson resamples.
+
+    A sum of Poisson draws is Poisson of the summed mean, so rows are counted first, by hit and by bucket of a hash, and each resample
+    draws for these few counts. A draw is a normal one for counts from 100, else by inversion.
+    """
+    hit = inside().cast("int")
+    counts = rows.groupBy(hit.alias("hit"), F.pmod(F.xxhash64(*rows.columns), F.lit(BOOT_BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    drawn = counts.where("hit is not null").select("hit", "bucket", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    uniform = lambda k: (F.pmod(F.xxhash64("hit", "bucket", "b", F.lit(seed), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+    # Inversion: how many partial sums of the distribution lie below the draw, up to 250 of a mean below 100.
+    start = F.struct(F.exp(-F.col("n")).alias("term"), F.exp(-F.col("n")).alias("sum"), F.lit(0).alias("k"))
+    step = lambda s, i: F.struct((s["term"] * F.col("n") / i).alias("term"), (s["sum"] + s["term"] * F.col("n") / i).alias("sum"), (s["k"] + (uniform(1) >= s["sum"]).cast("int")).alias("k"))
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(250)), start, step)["k"].cast("double")
+    weight = F.when(F.col("n") < 100, small).otherwise(F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal)))
+    per = drawn.withColumn("w", weight).groupBy("b").agg(F.try_divide(F.sum(F.col("hit") * F.col("w")), F.sum("w")).alias("c"))
     return per.agg(F.percentile("c", 0.025).alias("lo"), F.percentile("c", 0.975).alias("hi"))
 
 
@@ -139,6 +150,12 @@ def held_out_bar(rows: DataFrame, key: str, target: float) -> DataFrame:
     return other.groupBy("half", "bar").agg(F.round(F.avg(F.when(acted, F.col("correct").cast("double"))), 4).alias("accuracy"), F.round(1 - F.avg(acted.cast("double")), 4).alias("deferral"))
 
 
+def category_sources(tenders: DataFrame) -> DataFrame:
+    """One row: live tenders, and the shares of them whose category the portal and the model gave; shares are null without any."""
+    share = lambda source: F.round(F.avg((F.coalesce("category_source", F.lit("")) == source).cast("double")), 4)
+    return tenders.where("status = 'Live'").agg(F.count(F.lit(1)).alias("live"), share("portal").alias("portal_share"), share("model").alias("model_share"))
+
+
 def task_progress(tasks: DataFrame) -> DataFrame:
     """One row: weight done and in all, and its share."""
     done = F.sum(F.when(F.col("done"), F.col("weight")).otherwise(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,6 +74,52 @@ def advanced(mark: Watermark, plan: DataFrame, today: str) -> Watermark:
     return replace(mark, day=today, writes_today=used + sum(int(r["w"]) for r in last.values()), live=cursor("tenders_live", mark.live), backlog=cursor("tenders_backlog", mark.backlog))
 
 
+def bidder_load(bidders: DataFrame, mark: Watermark, budget: int, today: str) -> tuple[DataFrame, Watermark]:
+    """The bidders (bidder_id, last_award, ...) that a run loads, ``budget`` writes at most, and the watermark once they are confirmed.
+
+    The first load goes through all by id, over as many runs as it takes, and ends at the latest award. After it, a run takes those awarded
+    since LOOKBACK_DAYS before the watermark, newest first, as awards are published late; the watermark moves only if all of them fit.
+    """
+    rows = bidders.withColumn("bidder_id", F.col("bidder_id").cast("string"))
+    most = budget // WEIGHTS["bidders"]
+    if not mark.bidders:
+        pending, order = rows.where(F.col("bidder_id") > mark.bidders_after), [F.col("bidder_id")]
+    else:
+        since = (date.fromisoformat(mark.bidders) - timedelta(days=LOOKBACK_DAYS)).isoformat()
+        pending, order = rows.where(F.coalesce("last_award", F.lit("")) >= since), [F.col("last_award").desc_nulls_last(), F.col("bidder_id")]
+    taken = pending.orderBy(*order).limit(most)
+    whole = pending.count() <= most
+    newest, last = taken.agg(F.max("last_award"), F.max("bidder_id")).first()
+    if mark.bidders:
+        return taken, replace(mark, bidders=max(newest, mark.bidders)) if whole and newest else mark
+    if not whole:
+        return taken, replace(mark, bidders_after=last or mark.bidders_after)
+    return taken, replace(mark, bidders=rows.agg(F.max("last_award")).first()[0] or today, bidders_after="")
+
+
+MARKER = "last_load"
+
+
+def with_marker(todo: list[str], token: str) -> list[str]:
+    """The statements and one more, which can only be there if all before it ran."""
+    return [*todo, f"INSERT OR REPLACE INTO meta (key, value) VALUES ('{MARKER}', '{token.replace(chr(39), chr(39) * 2)}');"]
+
+
+def committed(todo: list[str], token: str, run: Callable[[str], bool], read: Callable[[str], str | None], before: Watermark, after: Watermark, wait: Callable[[float], None] = time.sleep) -> Watermark:
+    """The watermark after a load: ``after`` only if every statement ran and the marker, read back, is this load's."""
+    marked = with_marker(todo, token)
+    return after if executed(marked, run, wait) == len(marked) and read(MARKER) == token else before
+
+
+def confirmed(loads: DataFrame) -> DataFrame:
+    """(stream, mark) of the last confirmed load of each stream; ``loads``: (stream, run, mark, token, statements, done, read_back).
+
+    A load is confirmed if all its statements are done and its token was read back; later ones that are not leave the mark where it was.
+    """
+    ok = (F.col("done") == F.col("statements")) & F.col("read_back").eqNullSafe(F.col("token"))
+    return loads.groupBy("stream").agg(F.max_by("mark", F.when(ok, F.col("run"))).alias("mark"), F.count_if(ok).alias("confirmed"), F.count_if(~ok).alias("failed"))
+
+
 def statements(df: DataFrame, table: str, order: list[str], rows: int = ROWS, size: int = BYTES) -> DataFrame:
     """(file, statement): multi-row upserts of at most ``rows`` rows and ``size`` bytes, PER_FILE statements a file.
 

@@ -17,12 +17,17 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return awards(spark, sf_dir)
 
 
-@query(f"""{_A}, {_OK}, o AS (SELECT median(r) AS overall FROM ok), m AS (SELECT method, median(r) AS by_method FROM ok GROUP BY 1 HAVING count(*) >= 50),
-e AS (SELECT pe_id, median(r) AS own, count(*) AS k, arg_min(method, signed_on || '|' || lpad(tender_id, 12, '0') || '|' || method) AS method FROM ok GROUP BY 1)
-SELECT pe_id, round((own * k + coalesce(by_method, overall) * 10) / (k + 10), 4) AS multiple FROM (SELECT pe_id, own, k FROM e) e JOIN (SELECT pe_id, median(r) AS m0 FROM ok GROUP BY 1) USING (pe_id), o, (SELECT max(by_method) AS by_method FROM m WHERE method = '~') x""")
+@query(f"""{_A}, {_OK}, o AS (SELECT median(r) AS overall FROM ok), m AS (SELECT method, median(r) AS by_method FROM ok WHERE method <> '' GROUP BY 1 HAVING count(*) >= 50),
+e AS (SELECT pe_id, median(r) AS own, count(*) AS k, arg_min(method, signed_on || '|' || tender_id || '|' || method) AS method FROM ok WHERE pe_id <> '' GROUP BY 1),
+s AS (SELECT pe_id, (own * k + coalesce(by_method, overall) * 10) / (k + 10) AS by_entity FROM e LEFT JOIN m USING (method), o),
+asked AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'new' ELSE CAST(c_nationkey AS VARCHAR) END AS pe_id, CASE WHEN l_linenumber = 1 AND l_returnflag = 'N' THEN 'new' ELSE l_returnflag END AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT a.pe_id, a.method, round(coalesce(by_entity, by_method, overall), 4) AS multiple FROM asked a LEFT JOIN s ON a.pe_id = s.pe_id LEFT JOIN m ON a.method = m.method, o""")
 def security_ratio_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).withColumn("method", F.lit(""))
-    return bands.security_fit(rows)[2].select("pe_id", F.round("by_entity", 4).alias("multiple"))
+    """Multiples of known buyers, of new buyers by their method, and of those whose method is new too."""
+    rows = _rows(spark, sf_dir)
+    first = F.col("line") == 1
+    asked = rows.select(F.when(first, "new").otherwise(F.col("pe_id")).alias("pe_id"), F.when(first & (F.col("method") == "N"), "new").otherwise(F.col("method")).alias("method")).distinct()
+    return bands.security_multiple(asked, bands.security_fit(rows)).select("pe_id", "method", F.round("multiple", 4).alias("multiple"))
 
 
 @query(f"""{_A}, {_OK}, d AS (SELECT date_trunc('week', CAST(signed_on AS DATE)) AS week, round(r, 4) AS v FROM ok), k AS (SELECT week, count(*) AS n, median(v) AS own FROM d GROUP BY 1 ORDER BY 1 DESC LIMIT 12)
@@ -177,7 +182,7 @@ def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.bootstrap_coverage(_banded(spark, sf_dir).select("tender_id", "line", "value", "q10", "q50", "q90"), 100)
+    return evaluate.bootstrap_coverage(_banded(spark, sf_dir).select("tender_id", "line", "value", "q10", "q50", "q90"))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import evaluate, labels, load, quality
+from ledgerfold.operators import evaluate, labels, load, quality, setops
 from ledgerfold.plans.catalog import query
 from ledgerfold.plans.frames import AWARDS_SQL, TENDERS_SQL, awards, table, tenders
 from ledgerfold.plans.model_queries import _BANDED, _FIG, _FIGURES, _banded, _figures
@@ -95,7 +95,7 @@ def held_out_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.held_out_bar(rows, "doc_id", 0.85)
 
 
-@query()
+@query(f"{_T} SELECT tender_id, status FROM tenders ORDER BY md5('7:' || tender_id), tender_id LIMIT 50")
 def seeded_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.seeded_pick(tenders(spark, sf_dir).select("tender_id", "status"), "tender_id", 50, 7)
 
@@ -106,6 +106,10 @@ def value_counts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.where("n >= 3").orderBy(F.desc("n"), "user_id").limit(40)
 
 
-@query("""SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT l_linestatus)), '|') AS statuses, count(DISTINCT l_suppkey) AS bidders FROM lineitem GROUP BY 1""")
+@query("""WITH s AS (SELECT l_returnflag, list(DISTINCT l_suppkey) AS held FROM lineitem WHERE l_quantity >= 40 GROUP BY 1), j AS (SELECT a.l_returnflag AS one, b.l_returnflag AS two, a.held AS x, b.held AS y FROM s a JOIN s b ON a.l_returnflag < b.l_returnflag)
+SELECT one, two, len(list_filter(x, lambda k: NOT list_contains(y, k))) AS only_one, len(list_filter(y, lambda k: NOT list_contains(x, k))) AS only_two, len(list_intersect(x, y)) AS both,
+len(list_filter(x, lambda k: NOT list_contains(y, k))) = 0 AS is_subset, len(list_filter(x, lambda k: NOT list_contains(y, k))) = 0 AND len(list_filter(y, lambda k: NOT list_contains(x, k))) = 0 AS equal FROM j""")
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.array_join(F.sort_array(F.collect_set("l_linestatus")), "|").alias("statuses"), F.countDistinct("l_suppkey").alias("bidders"))
+    """Difference, intersection, subset and equality of the sets of bidders that each flag has, as semi and anti joins of distinct rows."""
+    held = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").select(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("member")).distinct()
+    return setops.compared(held, "flag", "member")

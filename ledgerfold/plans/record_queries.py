@@ -116,7 +116,7 @@ def block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Names for pair likeness: a brand with the words of a type, so blocks have many like names.
-_PAIR_SQL = """names AS (SELECT DISTINCT lower(p_brand || ' ' || p_type) AS raw FROM part WHERE p_partkey <= 400), normed AS (SELECT trim(regexp_replace(regexp_replace(raw, '[\\p{P}\\p{S}]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM names),
+_PAIR_SQL = """names AS (SELECT DISTINCT lower(p_brand || ' ' || p_type) AS raw FROM part), normed AS (SELECT trim(regexp_replace(regexp_replace(raw, '[\\p{P}\\p{S}]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM names),
 b AS (SELECT DISTINCT norm, coalesce(list_filter(string_split(norm, ' '), lambda t: length(t) >= 3)[1], string_split(norm, ' ')[1]) AS block FROM normed),
 words AS (SELECT block, norm, ' ' || unnest(string_split(norm, ' ')) || ' ' AS w FROM b),
 runs AS (SELECT block, norm, unnest(list_concat(list_concat([substr(w, i, 2) FOR i IN range(1, length(w))], [substr(w, i, 3) FOR i IN range(1, length(w) - 1)]), [substr(w, i, 4) FOR i IN range(1, length(w) - 2)])) AS g FROM words),

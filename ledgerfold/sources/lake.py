@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 
 from ledgerfold.schemas import ENDPOINTS
 
+#: Bytes of loose parts that one compact file stands for.
+COMPACT_BYTES = 128 << 20
+
 
 def stamp(now: datetime | None = None) -> str:
     return (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%S%fZ")
@@ -40,25 +44,45 @@ def append(df: DataFrame, root: str, endpoint: str, fetched_at: str | None = Non
     df.withColumn("fetched_at", F.lit(fetched_at or stamp())).write.mode("append").option("compression", "zstd").parquet(f"{root}/raw/{endpoint}")
 
 
+def _schemas(spark: SparkSession, files: list[str]) -> tuple[list[tuple[T.StructType, list[str]]], list[str]]:
+    """Files grouped so that the schemas of a group merge, and those that cannot be read.
+
+    Spark merges the schemas of many files in one distributed job; a list with a misfit is halved until the misfits stand alone.
+    """
+    if not files:
+        return [], []
+    try:
+        return [(spark.read.option("mergeSchema", True).parquet(*files).schema, files)], []
+    except Exception as e:  # noqa: BLE001 - a corrupt part must not stop the others
+        if len(files) == 1:
+            warnings.warn(f"part skipped, it cannot be read: {files[0]} ({str(e)[:120]})", stacklevel=3)
+            return [], files
+    half = len(files) // 2
+    (one, bad), (two, worse) = _schemas(spark, files[:half]), _schemas(spark, files[half:])
+    by_schema: dict[str, list[str]] = {}
+    for kind, of in [*one, *two]:
+        by_schema.setdefault(kind.json(), []).extend(of)
+    return [(T.StructType.fromJson(json.loads(kind)), of) for kind, of in by_schema.items()], [*bad, *worse]
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _fs(spark, path)
+    return sorted(f.getPath().toString() for f in fs.listStatus(at) if f.getPath().getName().endswith(".parquet") and f.getLen() > 12)
+
+
+def _united(spark: SparkSession, groups: list[tuple[T.StructType, list[str]]], endpoint: str, strict: bool) -> DataFrame:
+    read = spark.read.option("ignoreCorruptFiles", not strict)
+    frames = [conformed(read.schema(kind).parquet(*of), ENDPOINTS[endpoint]).withColumn("__file", F.col("_metadata.file_path")) for kind, of in groups]
+    return union_relaxed(frames) if frames else spark.createDataFrame([], ENDPOINTS[endpoint]).withColumn("__file", F.lit(""))
+
+
 def parts(spark: SparkSession, root: str, endpoint: str) -> DataFrame:
-    """All readable rows of an endpoint with a column ``__file``; unreadable parts are skipped, types of parts may differ.
+    """All readable rows of an endpoint with a column ``__file``; unreadable parts are skipped with a warning, types of parts may differ.
 
-    Parts are grouped by their own schema, so that an id stored as a number in one and as text in another still unites.
+    Parts are grouped by schema, so that an id stored as a number in one and as text in another still unites.
     """
     path = f"{root}/raw/{endpoint}"
-    schema = ENDPOINTS[endpoint]
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema).withColumn("__file", F.lit(""))
-    files = [f.getPath().toString() for f in _fs(spark, path)[0].listStatus(_fs(spark, path)[1]) if f.getPath().getName().endswith(".parquet") and f.getLen() > 12]
-    by_schema: dict[str, list[str]] = {}
-    for file in sorted(files):
-        try:
-            by_schema.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
-        except Exception:  # noqa: BLE001 - a corrupt part must not stop the others
-            continue
-    read = spark.read.option("ignoreCorruptFiles", True)
-    frames = [conformed(read.schema(T.StructType.fromJson(json.loads(kind))).parquet(*of), schema).withColumn("__file", F.col("_metadata.file_path")) for kind, of in by_schema.items()]
-    return union_relaxed(frames) if frames else spark.createDataFrame([], schema).withColumn("__file", F.lit(""))
+    return _united(spark, _schemas(spark, _files(spark, path) if exists(spark, path) else [])[0], endpoint, strict=False)
 
 
 def union_relaxed(frames: Iterable[DataFrame]) -> DataFrame:
@@ -84,7 +108,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
 
 def load_all(spark: SparkSession, root: str, endpoint: str) -> DataFrame:
     """The latest row of each tender; ties of the fetch time go to the later file, then to the greater row."""
-    rows = parts(spark, root, endpoint).withColumn("tender_id", F.col("tender_id").cast("string"))
+    return latest_rows(parts(spark, root, endpoint))
+
+
+def latest_rows(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("tender_id", F.col("tender_id").cast("string"))
     columns = [c for c in rows.columns if c != "__file"]
     return latest_per_key(rows, ["tender_id"], ["fetched_at", "__file", F.to_json(F.struct(*columns))]).drop("__file")
 
@@ -98,27 +126,31 @@ def unseen(df: DataFrame, known: DataFrame, key: str = "tender_id") -> DataFrame
 
 
 def compact(spark: SparkSession, root: str, endpoint: str, min_parts: int = 20) -> bool:
-    """Merges loose parts into one compact file with the latest row of each key, then deletes them; earlier compact files stay.
+    """Merges loose parts into compact files with the latest row of each key, then deletes those it has read; earlier compact files stay.
 
-    Below ``min_parts`` loose parts nothing happens. A crash between writing and deleting leaves rows twice, which reading resolves.
+    Below ``min_parts`` loose parts nothing happens. Parts that cannot be read stay where they are; one that fails while it is read ends the
+    compaction with nothing deleted. A crash between writing and deleting leaves rows twice, which reading resolves.
     """
     path = f"{root}/raw/{endpoint}"
     if not exists(spark, path):
         return False
     fs, at = _fs(spark, path)
-    loose = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-") and f.getPath().getName().endswith(".parquet")]
+    loose = [f for f in fs.listStatus(at) if f.getPath().getName().startswith("part-") and f.getPath().getName().endswith(".parquet")]
     if len(loose) < min_parts:
         return False
-    names = [p.toString() for p in loose]
-    rows = parts(spark, root, endpoint).where(F.element_at(F.split("__file", "/"), -1).isin(*(p.getName() for p in loose)))
-    kept = latest_per_key(rows.withColumn("tender_id", F.col("tender_id").cast("string")), ["tender_id"], ["fetched_at", "__file"]).drop("__file")
-    made = f"{path}/_compacting"
-    kept.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(made)
+    groups, _ = _schemas(spark, sorted(f.getPath().toString() for f in loose if f.getLen() > 12))
+    consumed = [file for _, of in groups for file in of]
+    if not consumed:
+        return False
+    rows = _united(spark, groups, endpoint, strict=True)
+    kept = latest_rows(rows)
+    made, size = f"{path}/_compacting", {f.getPath().toString(): f.getLen() for f in loose}
+    kept.coalesce(-(-sum(size[x] for x in consumed) // COMPACT_BYTES)).write.mode("overwrite").option("compression", "zstd").parquet(made)
     _, made_at = _fs(spark, made)
-    for f in fs.listStatus(made_at):
-        if f.getPath().getName().endswith(".parquet"):
-            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/compact-{stamp()}.parquet"))
-    for name in names:
+    now = stamp()
+    for i, f in enumerate(f for f in fs.listStatus(made_at) if f.getPath().getName().endswith(".parquet")):
+        fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/compact-{now}-{i:05d}.parquet"))
+    for name in consumed:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(name), False)
     fs.delete(made_at, True)
     return True
@@ -139,8 +171,8 @@ def read_clean(spark: SparkSession, root: str, name: str, schema: T.StructType)
 
 
 def seeded_pick(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows in an order that follows from the seed: by CRC of seed and key, equal ones by key."""
-    return df.orderBy(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key).limit(n)
+    """``n`` rows in an order that follows from the seed: by MD5 of seed and key, equal ones by key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key).limit(n)
 
 
 def newest_id(df: DataFrame, key: str = "tender_id") -> Column:

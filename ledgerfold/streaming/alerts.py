@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
@@ -71,6 +74,58 @@ def stream(notices: DataFrame, subscriptions: DataFrame, root: str, children: di
     return notices.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
+def due(runs: DataFrame) -> DataFrame:
+    """``runs`` (ran_at, load) with ``examined``: a run looks at notices only if the load marker has changed since the last run that did.
+
+    Without a marker every run looks. A run that is not the first of its load finds nothing new, so it reads no notices at all.
+    """
+    marked = F.coalesce("load", F.lit(""))
+    before = F.last(F.when(marked != "", marked), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("ran_at").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("examined", (marked == "") | ~marked.eqNullSafe(before))
+
+
+def error_text(kind: Column, message: Column) -> Column:
+    """What a failed run says in public: kind and message, long numbers masked, 200 characters."""
+    return F.left(F.regexp_replace(F.concat_ws(": ", kind, message), r"\d{6,}", "#"), F.lit(200))
+
+
+#: Counts that a run of alerts records.
+RUN_FIGURES = ("candidates", "subscriptions", "matched", "sent", "failed", "pruned")
+
+
+def recorded(spark: SparkSession, path: str, ran_at: str, run: Callable[[], dict[str, int]], dry: bool = False) -> dict[str, int]:
+    """Runs ``run`` and appends a row of its figures to the log at ``path``, also if it failed: then the error goes on. Dry runs leave no row.
+
+    A log that cannot be written costs no alert.
+    """
+    found: dict[str, int] = {}
+    error: BaseException | None = None
+    try:
+        found = run()
+        return found
+    except Exception as e:
+        error = e
+        raise
+    finally:
+        if not dry:
+            row = spark.range(1).select(
+                F.lit(ran_at).alias("ran_at"), *(F.lit(int(found.get(c, 0))).cast("long").alias(c) for c in RUN_FIGURES), F.lit(int(error is not None)).alias("errored"),
+                (error_text(F.lit(type(error).__name__), F.lit(str(error))) if error is not None else F.lit(None).cast("string")).alias("error"),
+            )
+            try:
+                row.write.mode("append").parquet(path)
+            except Exception as e:  # noqa: BLE001 - the run happened, whether it is written down or not
+                warnings.warn(f"run not recorded: {e}", stacklevel=2)
+
+
+def run_summary(log: DataFrame) -> DataFrame:
+    """One row of a run log: runs, failed ones, figures in all, the last run and the last error."""
+    return log.agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("errored").alias("errored"), *(F.sum(c).alias(c) for c in RUN_FIGURES), F.max("ran_at").alias("last_run"),
+        F.max_by("error", F.when(F.col("errored") == 1, F.col("ran_at"))).alias("last_error"),
+    )
+
+
 def rate_limited(requests: DataFrame, per_hour: int = 5) -> DataFrame:
     """``requests`` (hash, ts, id) with ``allowed``: at most so many of one hash in the hour up to each, itself included."""
     w = Window.partitionBy("hash").orderBy(F.unix_timestamp("ts")).rangeBetween(-3599, 0)

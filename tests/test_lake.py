@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.schemas import PREDICTIONS
@@ -43,6 +44,19 @@ def test_compaction_keeps_the_latest_and_drops_loose_parts(spark, tmp_path):
     assert got == {"1": "3", "n0": "x", "n1": "x", "n2": "x", "n3": "x"}
 
 
+def test_compaction_leaves_what_it_cannot_read(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(3):
+        lake.append(spark.createDataFrame([(f"n{i}", "x")], "tender_id string, status string").coalesce(1), root, "tenders")
+    lake.append(spark.createDataFrame([(7,)], "tender_id long").coalesce(1), root, "tenders")
+    bad = Path(root, "raw/tenders/part-bad.parquet")
+    bad.write_bytes(b"not parquet at all, but it may be mended")
+    with pytest.warns(UserWarning, match="part-bad"):
+        assert lake.compact(spark, root, "tenders", min_parts=4)
+    assert bad.exists() and not list(Path(root, "raw/tenders").glob("part-0*.parquet"))
+    assert {r[0] for r in lake.known_ids(spark, root, "tenders").collect()} == {"n0", "n1", "n2", "7"}
+
+
 def test_clean_tables_are_replaced(spark, tmp_path):
     for v in (1.0, 2.0):
         lake.write_clean(spark.createDataFrame([("1", v)], "tender_id string, q50_lakh double"), str(tmp_path), "predictions")
