@@ -11,7 +11,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -73,15 +73,24 @@ def weak_spans(text: str, strict: list[Span]) -> list[Span]:
     if "://" in text:
         found += [Span("endpoint", *m.span()) for m in ADDRESS.finditer(text)]
     found += [Span("material", *m.span()) for m in MATERIAL.finditer(text) if _random_looking(m[0])]
-    # Strict spans that overlap or touch are one cover, so that the last that begins before a part's end is the only one to ask.
+    free = uncovered(strict)
+    return [s for s in found if free(s)]
+
+
+def uncovered(strict: list[Span]) -> Callable[[Span], bool]:
+    """Whether a span overlaps no strict one. Strict spans that overlap or touch are one cover, so only the last that begins before a span's end is asked."""
     covers: list[list[int]] = []
     for a, b in sorted((s.start, s.end) for s in strict):
         if covers and a <= covers[-1][1]:
             covers[-1][1] = max(covers[-1][1], b)
         else:
             covers.append([a, b])
-    before = lambda s: covers[at - 1][1] if (at := bisect_left(covers, [s.end])) else -1
-    return [s for s in found if before(s) <= s.start]
+
+    def free(s: Span) -> bool:
+        at = bisect_left(covers, [s.end])
+        return not at or covers[at - 1][1] <= s.start
+
+    return free
 
 
 def linked(strict: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
