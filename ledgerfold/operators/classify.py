@@ -6,13 +6,14 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, RegexTokenizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, NGram, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerfold.operators import evaluate
+from ledgerfold.storage import freed, saved
 
 TARGET, FALLBACK = 0.93, 0.60
 LEAST_OF_CLASS, FOLDS, DROPOUT, PRIOR_WEIGHT = 5, 5, 0.3, 1.0
@@ -30,22 +31,34 @@ def with_dropout(brief: Column, key: Column, share: float = DROPOUT, seed: int =
     return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < int(share * 1000), F.lit("")).otherwise(brief)
 
 
-def pipeline(label: str = "label", text: str = "text", cost: float = 4.0, rows: int = 1000, features: int = 1 << 16) -> Pipeline:
-    """Words, pairs of words and hashed character runs, sublinear by inverse document frequency, into logistic regression."""
-    stages = [
+#: Runs of 3 to 5 characters within a word that has a space on each side, as an expression over the words ``__w``.
+_RUNS = "flatten(transform(__w, w -> flatten(transform(sequence(3, 5), n -> if(length(w) + 2 < n, array(), transform(sequence(1, length(w) + 3 - n), i -> substring(' ' || w || ' ', i, n)))))))"
+
+
+def features(label: str = "label", text: str = "text", buckets: int = 1 << 16) -> list:
+    """Words, pairs of words and hashed runs of characters, each counted once a text, by inverse document frequency."""
+    return [
         StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip", stringOrderType="alphabetAsc"),
         RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"\W+"),
         NGram(n=2, inputCol="__w", outputCol="__w2"),
-        CountVectorizer(inputCol="__w", outputCol="__c1", minDF=2, vocabSize=80_000),
-        HashingTF(inputCol="__w2", outputCol="__c2", numFeatures=features),
-        RegexTokenizer(inputCol=text, outputCol="__ch", pattern="", gaps=True, minTokenLength=1),
-        NGram(n=4, inputCol="__ch", outputCol="__ch4"),
-        HashingTF(inputCol="__ch4", outputCol="__c3", numFeatures=features),
-        *(IDF(inputCol=f"__c{i}", outputCol=f"__t{i}") for i in (1, 2, 3)),
-        VectorAssembler(inputCols=["__t1", "__t2", "__t3"], outputCol="__x"),
-        LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1 / (cost * rows), standardization=False, maxIter=60, probabilityCol="__p", predictionCol="__k"),
+        CountVectorizer(inputCol="__w", outputCol="__c1", minDF=2, vocabSize=80_000, binary=True),
+        HashingTF(inputCol="__w2", outputCol="__c2", numFeatures=buckets, binary=True),
+        SQLTransformer(statement=f"SELECT *, {_RUNS} AS __ch FROM __THIS__"),
+        HashingTF(inputCol="__ch", outputCol="__c3", numFeatures=buckets, binary=True),
+        VectorAssembler(inputCols=["__c1", "__c2", "__c3"], outputCol="__c"),
+        IDF(inputCol="__c", outputCol="__x"),
     ]
-    return Pipeline(stages=stages)
+
+
+def fitted(rows: DataFrame, label: str = "label", text: str = "text", cost: float = 4.0, buckets: int = 1 << 16, most: int = 60) -> PipelineModel:
+    """Logistic regression on ``features``; the vectors are written once, and its iterations read these."""
+    rows = saved(rows.select(label, text), "texts")
+    made = Pipeline(stages=features(label, text, buckets)).fit(rows)
+    vectors = saved(made.transform(rows).select("__y", "__x"), "vectors")
+    regression = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1 / (cost * max(1, vectors.count())), standardization=False, maxIter=most, probabilityCol="__p", predictionCol="__k")
+    model = PipelineModel(stages=[*made.stages, regression.fit(vectors)])
+    freed(rows, vectors)
+    return model
 
 
 def fold_of(label: str, key: str, folds: int = FOLDS, repeat: int = 0) -> Column:
@@ -62,13 +75,14 @@ def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return named.select(*rows.columns, "guess", "conf", "proba")
 
 
-def out_of_fold(rows: DataFrame, key: str = "tender_id", label: str = "label", folds: int = FOLDS, repeats: int = 1) -> DataFrame:
+def out_of_fold(rows: DataFrame, key: str = "tender_id", label: str = "label", folds: int = FOLDS, repeats: int = 3, buckets: int = 1 << 16) -> DataFrame:
     """Every row once a repeat, predicted by a model that has not seen it."""
     out = None
     for repeat in range(repeats):
-        dealt = rows.withColumn("__fold", fold_of(label, key, folds, repeat)).cache()
+        dealt = saved(rows.withColumn("__fold", fold_of(label, key, folds, repeat)), "folds")
         for k in range(folds):
-            got = predicted(pipeline(label).fit(dealt.where(F.col("__fold") != k).drop("__fold")), dealt.where(F.col("__fold") == k).drop("__fold")).withColumn("repeat", F.lit(repeat))
+            model = fitted(dealt.where(F.col("__fold") != k), label, buckets=buckets)
+            got = predicted(model, dealt.where(F.col("__fold") == k).drop("__fold")).withColumn("repeat", F.lit(repeat))
             out = got if out is None else out.unionByName(got)
     return out
 

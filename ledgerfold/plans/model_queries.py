@@ -189,11 +189,19 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classifier_train_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = classify.trainable(tenders(spark, sf_dir).select("tender_id", F.col("category").alias("label"), F.concat_ws(" ", "title", "ministry").alias("text"), "pe_id"))
     train, rest = rows.where(F.pmod(F.xxhash64("tender_id"), F.lit(5)) > 0), rows.where(F.pmod(F.xxhash64("tender_id"), F.lit(5)) == 0)
-    guessed = classify.predicted(classify.pipeline(features=1 << 10).fit(train), rest)
+    guessed = classify.predicted(classify.fitted(train, buckets=1 << 12), rest)
     guess, conf = classify.answered(F.col("guess"), F.col("conf"), classify.TARGET)
     return guessed.select("tender_id", "label", guess.alias("category"), conf.alias("confidence"))
 
 
+@query()
+def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with labels guessed by models that have not seen it, in three repeats of three folds; then one vote each."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    votes = classify.out_of_fold(docs, "doc_id", folds=3, repeats=3, buckets=1 << 12)
+    return votes.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("repeats"), F.mode("guess", deterministic=True).alias("guess"), F.round(F.avg("conf"), 4).alias("conf"))
+
+
 @query(f"""{_T} SELECT tender_id, CASE WHEN method = '1-URGENT' THEN category WHEN estimate % 1 >= 0.5 THEN 'guess' ELSE '' END AS category, CASE WHEN method = '1-URGENT' THEN 1.0 ELSE round(estimate % 1, 4) END AS category_confidence,
 CASE WHEN method = '1-URGENT' THEN 'portal' WHEN estimate % 1 >= 0.5 THEN 'model' ELSE '' END AS category_source FROM tenders""")
 def category_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
