@@ -27,7 +27,7 @@ from ledgerfold.llm.store import saved, small_batches, unused
 #: Words within which a long line is divided once at least; lines of a window; words in a row that are removed at least.
 WIDTH, WINDOW, LEAST_WORDS = 12, 3, 20
 #: Windows that a task holds before it packs them; bytes of text whose windows make up one range.
-HELD, RANGE_BYTES = 1 << 20, 32 << 20
+HELD, RANGE_BYTES = 1 << 18, 32 << 20
 
 _PLAIN = kernel.lookup("space", lower=False)
 
