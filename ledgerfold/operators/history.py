@@ -102,6 +102,30 @@ def cqr_pad(calibration: DataFrame, group: str = "method", least: int = 300) ->
     return own.unionByName(bands.conformal_pad(scored.withColumn(group, F.lit(None).cast("string")), [group])).select(group, "n", "pad")
 
 
+#: Steps by which a pad grows until a later block is covered, and how far it may.
+PAD_STEP, PAD_MOST = 0.02, 2.0
+
+
+def drifted_pads(calibration: DataFrame, later: DataFrame, group: str = "method", least: int = 300) -> DataFrame:
+    """``cqr_pad``, each pad widened by steps until the promised share of its own rows in a later block is inside; null: all.
+
+    Both sides: (group, y, lo, hi). A group with fewer than ``least`` later rows keeps its pad. The step that a row needs is counted, so the
+    search is a running sum over PAD_MOST / PAD_STEP counts a group.
+    """
+    pads = cqr_pad(calibration, group, least)
+    scored = later.select(group, F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi")).alias("score"))
+    both = scored.unionByName(scored.withColumn(group, F.lit(None).cast("string")))
+    known = pads.select(F.col(group).alias("__g"), "pad")
+    needs = F.greatest(F.lit(0), F.ceil((F.col("score") - F.col("pad")) / PAD_STEP - 1e-9)).cast("int")
+    counts = both.join(F.broadcast(known), F.col(group).eqNullSafe(F.col("__g"))).withColumn("step", needs).groupBy("__g", "step").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("__g")
+    reached = counts.withColumn("share", F.sum("n").over(w.orderBy("step")) / F.sum("n").over(w)).withColumn("all", F.sum("n").over(w))
+    most = round(PAD_MOST / PAD_STEP)
+    found = reached.where(F.col("share") >= bands.COVERAGE).groupBy("__g").agg(F.min("step").alias("step"), F.max("all").alias("all"))
+    extra = F.when(F.col("all") >= least, F.least(F.coalesce("step", F.lit(most)), F.lit(most)) * PAD_STEP).otherwise(0.0)
+    return pads.join(found, F.col(group).eqNullSafe(F.col("__g")), "left").select(group, "n", (F.col("pad") + F.coalesce(extra, F.lit(0.0))).alias("pad"))
+
+
 def banded_prediction(rows: DataFrame, edges: DataFrame, size: Column, group: str = "method", widening: float = 1.0) -> DataFrame:
     """``rows`` (y_hat in logs) with q10, q50, q90: the group's edges, or those of all, times the predicted size of the miss."""
     own = edges.where(F.col(group).isNotNull()).select(group, F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))

@@ -22,10 +22,15 @@ def longest_prefix(codes: DataFrame, prefixes: DataFrame, code: str = "code", sh
     return codes.join(best, code, "left").withColumn("category", F.col("b.category")).withColumn("prefix", F.col("b.prefix")).drop("b")
 
 
-def code_list(rows: DataFrame, code: str = "code", label: str = "label") -> DataFrame:
-    """(label, code): labels and the first part of those with semicolons, folded."""
+def code_names(rows: DataFrame, code: str = "code", label: str = "label") -> DataFrame:
+    """(label, code): each code under its label and under the first part of one with semicolons, folded."""
     names = F.array_distinct(F.array(F.col(label), F.get(F.split(label, ";"), F.lit(0))))
-    return rows.select(F.explode(names).alias("label"), code).select(F.lower(F.btrim("label")).alias("label"), code).dropDuplicates(["label"])
+    return rows.select(F.explode(names).alias("label"), code).select(F.lower(F.btrim("label")).alias("label"), code).distinct()
+
+
+def code_list(rows: DataFrame, code: str = "code", label: str = "label") -> DataFrame:
+    """(label, code): one code for each name of ``code_names``, the least."""
+    return code_names(rows, code, label).groupBy("label").agg(F.min(code).alias(code))
 
 
 def tag_codes(tags: DataFrame, codes: DataFrame, wordings: dict[str, str], old_picks: dict[str, list[str]], key: str = "tender_id") -> DataFrame:

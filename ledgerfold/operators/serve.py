@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE, MOST = 25, 100
@@ -107,8 +111,30 @@ def request_faults(name: Column, email: Column, message: Column, trap: Column, m
     ))
 
 
-def cached(store: dict, name: str, marker: str, make):
-    """A summary kept for as long as the load marker is the same."""
-    if store.get(name, (None,))[0] != marker:
-        store[name] = (marker, make())
-    return store[name][1]
+def cached(spark: SparkSession, path: str, name: str, marker: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """A summary of a few rows, computed once for each load: read from the table at ``path`` if it was kept under this marker.
+
+    Without a marker nothing is kept. A kept value of another load, or one that cannot be read, is computed again; a write that fails only
+    means that the next call computes too. Of two that write at once either may be read: they are of the same load.
+    """
+    at = f"{path}/{name}/load={quote(marker, safe='')}"
+    if marker:
+        try:
+            return spark.read.parquet(at)
+        except AnalysisException:
+            pass
+    made = compute()
+    if not marker:
+        return made
+    try:
+        made.coalesce(1).write.mode("overwrite").parquet(at)
+        return spark.read.schema(made.schema).parquet(at)
+    except Exception as e:  # noqa: BLE001 - a summary that is not kept is still one
+        warnings.warn(f"summary not kept: {e}", stacklevel=2)
+        return made
+
+
+def cache_key(f: Filters) -> str | None:
+    """The name under which the default views are kept; None for any other, so that odd requests cannot fill the table."""
+    narrowed = f.q or f.ministry or f.category or f.method or f.page != 1
+    return None if narrowed or f.status not in ("Live", "all") else f"filters-{f.status}"

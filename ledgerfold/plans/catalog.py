@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from ledgerfold.plans import model_queries, more_queries, profile_queries, record_queries, serving_queries, step_queries  # noqa: E402, F401
+from ledgerfold.plans import model_queries, more_queries, profile_queries, record_queries, serving_queries, step_queries, text_queries  # noqa: E402, F401

@@ -156,11 +156,6 @@ def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(counts)[1]
 
 
-@query()
-def adjudicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("a", "b", N.pair_decision(F.col("a"), F.col("b")).alias("decision"))
-
-
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""")
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ledgerfold.sources import lake
 
 #: Pages of a delta at most, pages between two writes, and failures in a row that end a crawl.
 DELTA_PAGES, FLUSH, FAILURES = 50, 50, 3
+#: Failures in a row that end a collection of single pages.
+COLLECT_FAILURES = 5
 
 
 def files(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 100) -> DataFrame:
@@ -30,13 +33,18 @@ def deltas(rows: DataFrame, root: str, endpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoints/{endpoint}").trigger(availableNow=True).start()
 
 
-def crawl(fetch: Callable[[int], tuple[list[dict], int]], write: Callable[[list[dict]], None], known: Callable[[list[str]], set[str]] | None, start: int = 1, most: int | None = None, save: Callable[[int, int], None] = lambda page, total: None) -> str:
+def crawl(fetch: Callable[[int], tuple[list[dict], int]], write: Callable[[list[dict]], None], known: Callable[[list[str]], set[str]] | None, start: int = 1, most: int | None = None, save: Callable[[int, int], None] = lambda page, total: None, seconds: float | None = None, clock: Callable[[], float] = time.monotonic) -> str:
     """Pages in order from ``start``. With ``known`` (a delta) it stops at a page without a new id; rows go out before the page is saved.
 
-    Returns ``done``, ``stopped`` (page limit) or ``failed`` (too many failures in a row).
+    Returns ``done``, ``stopped`` (page limit, or ``seconds`` are over: the next run goes on from there) or ``failed`` (too many failures in a row).
     """
-    held, page, failures, total = [], start, 0, 0
+    held, page, failures, total, began = [], start, 0, 0, clock()
     while most is None or page < start + most:
+        if seconds is not None and clock() - began > seconds:
+            if held:
+                write(held)
+            save(page - 1, total)
+            return "stopped"
         try:
             rows, total = fetch(page)
         except Exception:  # noqa: BLE001 - any failure of a page counts
@@ -67,6 +75,36 @@ def crawl(fetch: Callable[[int], tuple[list[dict], int]], write: Callable[[list[
     return "done" if most is None or page < start + most else "stopped"
 
 
+def collect(ids: Iterable[str], fetch: Callable[[str], dict | None], write: Callable[[list[dict]], None], seconds: float | None = None, clock: Callable[[], float] = time.monotonic, flush: int = FLUSH) -> str:
+    """One page for each id. A page that is not there leaves a stub, (tender_id, missing), so that it is not asked for again.
+
+    Rows go out every ``flush`` of them and at the end, also after a failure. Returns ``done``, ``stopped`` (time) or ``failed``.
+    """
+    held: list[dict] = []
+    failures, began = 0, clock()
+    outcome = "done"
+    for key in ids:
+        if seconds is not None and clock() - began > seconds:
+            outcome = "stopped"
+            break
+        try:
+            row = fetch(key)
+        except Exception:  # noqa: BLE001 - any failure of a page counts
+            failures += 1
+            if failures >= COLLECT_FAILURES:
+                outcome = "failed"
+                break
+            continue
+        failures = 0
+        held.append({"tender_id": key, "missing": row is None} | (row or {}))
+        if len(held) >= flush:
+            write(held)
+            held = []
+    if held:
+        write(held)
+    return outcome
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     w = F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
