@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from ledgerfold.storage import freed, saved
+
 #: Notices looked at in one run, and messages to one subscription in one run.
 BATCH, PER_SUBSCRIPTION = 500, 20
 
@@ -36,20 +38,28 @@ def fits(children: dict[str, list[str]] | None = None) -> Column:
     return some & ok
 
 
-def matched(tenders: DataFrame, subscriptions: DataFrame, sent: DataFrame, children: dict[str, list[str]] | None = None, per: int = PER_SUBSCRIPTION) -> DataFrame:
-    """(sub_id, tender_id, fetched_at) to send: what fits any filter of a subscription and was not sent, the earliest ``per`` of each.
+def met(tenders: DataFrame, subscriptions: DataFrame, children: dict[str, list[str]] | None = None) -> DataFrame:
+    """(sub_id, tender_id, fetched_at): which of at most BATCH notices fit any filter of which subscription.
 
-    ``subscriptions``: (sub_id, filters array of f). Filters that name a ministry meet only its notices; a run's notices are at most
-    BATCH rows, so that side is sent to where the filters are.
+    ``subscriptions``: (sub_id, filters array of f). That side of few rows is sent to where the filters are.
     """
     filters = subscriptions.select("sub_id", F.explode("filters").alias("f"))
     notices = F.broadcast(tenders.select("tender_id", "title", "ministry", "status", "category", "fetched_at"))  # BATCH rows
-    met = filters.join(notices, fits(children)).select("sub_id", "tender_id", "fetched_at").distinct()
-    fresh = met.join(sent.select("sub_id", "tender_id"), ["sub_id", "tender_id"], "left_anti")
+    return filters.join(notices, fits(children)).select("sub_id", "tender_id", "fetched_at").distinct()
+
+
+def to_send(found: DataFrame, sent: DataFrame, per: int = PER_SUBSCRIPTION) -> DataFrame:
+    """What was not sent of ``met``, the earliest ``per`` of each subscription."""
+    fresh = found.join(sent.select("sub_id", "tender_id"), ["sub_id", "tender_id"], "left_anti")
     w = Window.partitionBy("sub_id").orderBy("fetched_at", "tender_id")
     return fresh.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per).drop("place")
 
 
+def matched(tenders: DataFrame, subscriptions: DataFrame, sent: DataFrame, children: dict[str, list[str]] | None = None, per: int = PER_SUBSCRIPTION) -> DataFrame:
+    """(sub_id, tender_id, fetched_at) to send for at most BATCH notices."""
+    return to_send(met(tenders, subscriptions, children), sent, per)
+
+
 def pruned(subscriptions: DataFrame, failures: DataFrame) -> DataFrame:
     """Subscriptions without those whose endpoint is gone (404 or 410)."""
     return subscriptions.join(failures.where(F.col("code").isin(404, 410)).select("sub_id").distinct(), "sub_id", "left_anti")
@@ -58,18 +68,23 @@ def pruned(subscriptions: DataFrame, failures: DataFrame) -> DataFrame:
 def stream(notices: DataFrame, subscriptions: DataFrame, root: str, children: dict[str, list[str]] | None = None) -> StreamingQuery:
     """Matches every micro-batch of a stream of notices; ``root`` gets the messages (also the record of what was sent) and the checkpoint.
 
-    A batch writes to a folder of its own number, so a batch that is run again replaces what it wrote. A batch is not cut to BATCH rows:
-    the source's own limit per trigger bounds it, and Spark refuses a broadcast beyond its own limit.
+    A batch writes to a folder of its own number, so a batch that is run again replaces what it wrote. Notices of a batch are looked at
+    some BATCH at a time, and what each of these parts finds is written before all are ranked.
     """
     out = f"{root}/messages"
     kinds = "sub_id string, tender_id string, fetched_at string"
 
     def run(batch: DataFrame, number: int) -> None:
-        live = batch.where("status = 'Live'")
         spark = batch.sparkSession
+        live = saved(batch.where("status = 'Live'"), "notices")
         spark.createDataFrame([], kinds).write.mode("ignore").parquet(f"{out}/batch=-1")
         sent = spark.read.schema(f"{kinds}, batch long").parquet(out).where(F.col("batch") != number)
-        matched(live, subscriptions, sent, children).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        blocks = -(-2 * live.count() // BATCH) or 1
+        part = F.pmod(F.xxhash64("tender_id"), F.lit(blocks))
+        found = [saved(met(live.where(part == i), subscriptions, children), "met") for i in range(blocks)]
+        every = spark.read.schema(kinds).parquet(*(f for df in found for f in df.inputFiles())) if any(df.inputFiles() for df in found) else found[0]
+        to_send(every, sent).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        freed(live, *found)
 
     return notices.writeStream.foreachBatch(run).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
