@@ -137,9 +137,10 @@ def plan_pairs(estimates: DataFrame, awards: DataFrame) -> DataFrame:
 
 def plan_fit(pairs: DataFrame) -> DataFrame:
     """(method, n, centre, lo, hi) of log ratios; the pooled figures have a null method."""
-    logs = pairs.withColumn("r", F.log("ratio"))
-    own = banded(logs.where("method <> ''"), ["method"], "r").where(F.col("n") >= PLAN_ROWS)
-    return own.unionByName(banded(logs, [], "r").withColumn("method", F.lit(None).cast("string")))
+    # Each row counts for its method and for all, so that one ranking serves both.
+    both = F.explode(F.array(F.struct("method", F.lit(False).alias("pooled")), F.struct(F.lit(None).cast("string").alias("method"), F.lit(True).alias("pooled"))))
+    logs = pairs.select(F.log("ratio").alias("r"), both.alias("g")).select("r", "g.method", "g.pooled").where("pooled or method <> ''")
+    return banded(logs, ["method", "pooled"], "r").where((F.col("n") >= PLAN_ROWS) | F.col("pooled")).select("n", "centre", "lo", "hi", "method")
 
 
 def plan_halves(pairs: DataFrame, order: list[str]) -> DataFrame:
@@ -181,9 +182,8 @@ def conformal_pad(scores: DataFrame, groups: list[str], value: str = "score") ->
 
 def expanding_prior(rows: DataFrame, keys: list[str], value: str, order: list[str], grand: float, smooth: float = 5.0) -> DataFrame:
     """``rows`` with ``prior`` (mean of the key's earlier rows, drawn to ``grand``) and ``history`` (how many they are)."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count(F.lit(1)).over(before)
-    return rows.withColumn("history", n).withColumn("prior", (F.coalesce(F.sum(value).over(before), F.lit(0.0)) + smooth * grand) / (n + smooth))
+    held = ranks.running(rows, keys, order, {"history": F.lit(1).cast("bigint"), "__sum": F.coalesce(F.col(value), F.lit(0.0))})
+    return held.withColumn("prior", (F.col("__sum") + smooth * grand) / (F.col("history") + smooth)).drop("__sum")
 
 
 def ordered_band(q10: Column, q50: Column, q90: Column) -> tuple[Column, Column]:

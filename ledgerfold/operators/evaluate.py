@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerfold.operators import ranks
+
 #: Rows a stratum or a bucket needs to be reported.
 STRATUM_ROWS, BUCKET_ROWS = 30, 50
 
@@ -46,9 +48,9 @@ def staleness(rows: DataFrame, days: str) -> DataFrame:
 def curve_by_confidence(rows: DataFrame) -> DataFrame:
     """(conf, kept, right, total): running counts from the most confident down, by distinct confidence."""
     counts = rows.groupBy("conf").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("correct").cast("long")).alias("r"))
-    every = Window.partitionBy(F.lit(1))
-    w = every.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("conf", F.sum("k").over(w).alias("kept"), F.sum("r").over(w).alias("right"), F.sum("k").over(every).alias("total"))
+    total = counts.agg(F.sum("k").alias("total"))
+    held = ranks.running(counts.withColumn("down", -F.col("conf")), [], ["down"], {"kept": F.col("k"), "right": F.col("r")})
+    return held.crossJoin(F.broadcast(total)).select("conf", (F.col("kept") + F.col("k")).alias("kept"), (F.col("right") + F.col("r")).alias("right"), "total")  # one row
 
 
 def deferral_for(curve: DataFrame, targets: tuple[float, ...] = (0.93, 0.95, 0.97)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerfold.storage import saved
+from ledgerfold.storage import saved, unused
 
 
 def ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -26,6 +26,24 @@ def ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return joined.withColumn("__i", F.col("__before") + place).drop("__before", "__part")
 
 
+def running(df: DataFrame, groups: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with one column for each of ``values``: its sum over the rows of the group before this one by ``order``, 0 for the first.
+
+    As in ``ranked``, rows are dealt by ranges of (groups, order): each part adds up its own rows, and the sums of the parts, a few for each
+    group, say what stands before it. Rows that are equal by ``order`` lie in one part.
+    """
+    at = unused(df.columns, "part")
+    own = {name: unused([*df.columns, at], f"own_{name}") for name in values}
+    dealt = saved(df.withColumns({own[n]: c for n, c in values.items()}).repartitionByRange(*groups, *order).withColumn(at, F.spark_partition_id()), "running")
+    whole = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*groups, at).agg(*(F.sum(c).alias(c) for c in own.values()))
+    before = sums.select(*groups, at, *(F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"before_{c}") for c in own.values()))
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, at]]
+    joined = dealt.alias("d").join(before.alias("b"), on).select("d.*", *(f"b.before_{c}" for c in own.values()))
+    inside = Window.partitionBy(*groups, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(*df.columns, *((F.col(f"before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in own.items()))
+
+
 def quantiles(df: DataFrame, groups: list[str], value: str, levels: dict[str, Column]) -> DataFrame:
     """(groups, n, one column a level): linear quantiles at levels that may depend on ``__n``, by rank and a grouped sum."""
     parts = []
