@@ -260,15 +260,44 @@ def _met(percent: int):
     return run
 
 
+_CLOSE = ["a", "b", "size_a", "size_b", "rare_a", "rare_b"]
+
+
+def _close(percent: int):
+    """The pairs whose rarest shingles leave room for the bound.
+
+    Up to the lesser of both last ones, all that two sets share is known; beyond it, they share no more than the smaller rest.
+    """
+
+    def may(size_a: int, size_b: int, rare_a: bytes, rare_b: bytes) -> bool:
+        x, y = np.frombuffer(rare_a, np.uint64), np.frombuffer(rare_b, np.uint64)
+        last = min(x[-1], y[-1])
+        x, y = x[: np.searchsorted(x, last, side="right")], y[: np.searchsorted(y, last, side="right")]
+        known = max(np.isin(x, y).sum(), np.isin(y, x).sum())
+        return (100 + percent) * (int(known) + min(size_a - len(x), size_b - len(y))) >= percent * (size_a + size_b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may(*r) for r in zip(*(batch.column(c).to_pylist() for c in _CLOSE[2:]), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _apart(rare: DataFrame, early: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of ``rare`` (node, n_shingles, rare) in different components of ``early`` that may be at the bound, each once."""
     short = F.xxhash64("node")
     placed = rare.join(early, "node", "left").select(short.alias("short"), F.xxhash64(F.coalesce("component", "node")).alias("of"), "n_shingles", "rare")
     rows = small_batches(placed).mapInArrow(_spread, "key long, of long, short long, n_shingles long, place long")
     parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = saved(rows.repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent), "a long, b long").distinct(), "met")
-    one, two = (rare.select(short.alias(c), F.col("node").alias(f"of_{c}")) for c in "ab")
-    return found.join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    met = saved(rows.repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent), "a long, b long").distinct(), "met")
+    ends = saved(met.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "ends")
+    held = saved(rare.withColumn("short", short).join(nearby(ends, ends.count()), "short"), "held")
+    one, two = (held.select(F.col("short").alias(f"short_{c}"), F.col("node").alias(c), F.col("n_shingles").alias(f"size_{c}"), F.col("rare").alias(f"rare_{c}")) for c in "ab")
+    both = met.select(F.col("a").alias("short_a"), F.col("b").alias("short_b")).join(one, "short_a").join(two, "short_b").select(*_CLOSE)
+    found = saved(both.mapInArrow(_close(percent), "a binary, b binary"), "apart")
+    freed(met, ends, held)
+    return found
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = saved(_confirmed(pairs, sets, percent), "links")
     early = components(links)
     # All that is left: sets of different components.
-    apart = saved(_apart(rare, early, percent), "apart")
+    apart = _apart(rare, early, percent)
     freed(pairs, sets, links, rare)
     sets = _members(narrow, nodes, apart, k)
     links = saved(_confirmed(apart, sets, percent), "links")
