@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.operators import bands, evaluate, history, load, report
+from ledgerfold.operators import bands, evaluate, history, load, report, serve
 from ledgerfold.plans.catalog import query
 from ledgerfold.plans.frames import AWARDS_SQL, TENDERS_SQL, awards, table, tenders
 from ledgerfold.plans.model_queries import _FIG, _PAIRS, _figures, _plan_pairs
@@ -172,6 +172,27 @@ def report_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.compared(made, stored)
 
 
+_Q = "r AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END AS name, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no at sign' ELSE 'c' || c_custkey || '@example.org' END AS email, repeat(c_mktsegment, CAST(c_custkey % 300 AS INT)) AS message, CASE WHEN c_custkey % 11 = 0 THEN 'filled' ELSE '' END AS trap FROM customer)"
+
+
+@query(f"""WITH {_Q} SELECT c_custkey, array_to_string(list_filter([CASE WHEN trim(name) = '' THEN 'name' END, CASE WHEN NOT regexp_matches(coalesce(email, ''), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email' END, CASE WHEN length(message) > 2000 THEN 'message' END, CASE WHEN trap <> '' THEN 'trap' END], lambda x: x IS NOT NULL), '|') AS faults FROM r""")
+def access_request_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with requests for access; customers stand for those who ask."""
+    key = F.col("c_custkey")
+    rest = lambda n: F.pmod(key, F.lit(n))
+    email = F.when(rest(5) == 0, F.lit(None).cast("string")).when(rest(5) == 1, "no at sign").otherwise(F.concat(F.lit("c"), key.cast("string"), F.lit("@example.org")))
+    faults = serve.request_faults(F.when(rest(7) == 0, " ").otherwise(F.col("c_name")), email, F.repeat("c_mktsegment", rest(300).cast("int")), F.when(rest(11) == 0, "filled").otherwise(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(faults, "|").alias("faults"))
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id FROM events WHERE event_id % 10 IN (4, 7)) SELECT CAST(c_custkey AS VARCHAR) AS sub_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM f)""")
+def subscriptions_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriptions that stay after endpoints were found gone; events stand for failures, with codes from 400 to 410."""
+    code = F.when(F.pmod("event_id", F.lit(10)) == 7, 410).otherwise(400 + F.pmod("event_id", F.lit(10))).cast("int")
+    failures = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sub_id"), code.alias("code"))
+    return alerts.pruned(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sub_id")), failures)
+
+
 @query()
 def history_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history route over all awards, from title and date alone: bands calibrated on the last fifth by date, by method."""

@@ -88,3 +88,18 @@ def test_state_and_lock(tmp_path):
                 raise AssertionError
         except FileExistsError:
             pass
+
+
+def test_state_and_lock_in_a_shared_store(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/s.json"
+    assert load_state(path, Checkpoint, spark, endpoint="tenders").next_page == 1
+    for page in (3, 4):
+        c = Checkpoint("tenders")
+        c.seen(page, 9)
+        save_state(path, c, spark)
+    assert load_state(path, Checkpoint, spark, endpoint="tenders").next_page == 5
+    lock = f"file://{tmp_path}/lock"
+    with Lock(lock, spark), pytest.raises(FileExistsError), Lock(lock, spark):
+        pass
+    with Lock(lock, spark):
+        pass
