@@ -2,7 +2,7 @@
 
 A line ends at a newline. A longer line is divided at places that its own words choose: of every WIDTH words in a row, a line ends
 after the one that is greatest by its first eight bytes (of equal ones the last). So a passage is divided alike wherever it stands, up to
-WIDTH words from its ends, and one of 4 x WIDTH words or more always has three whole lines. Every three consecutive lines are hashed,
+WIDTH words from its ends, and one of 50 words or more always has four whole lines. Every three consecutive lines are hashed,
 repeated hashes are found over all texts, the first occurrence stays, and of the others the lines that any of them covers go, where
 these add up to LEAST_WORDS words in a row.
 
@@ -25,7 +25,7 @@ from ledgerfold.llm import kernel
 from ledgerfold.llm.store import saved, small_batches, unused
 
 #: Words within which a long line is divided once at least; lines of a window; words in a row that are removed at least.
-WIDTH, WINDOW, LEAST_WORDS = 12, 3, 20
+WIDTH, WINDOW, LEAST_WORDS = 8, 3, 20
 #: Windows that a task holds before it packs them; bytes of text whose windows make up one range.
 HELD, RANGE_BYTES = 1 << 18, 32 << 20
 

@@ -118,8 +118,8 @@ WITH rows AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) A
 cut AS (SELECT doc_id, r, regexp_extract(line, '^[\x20\x09-\x0D]*') AS lead, regexp_extract_all(line, '(?:[\x{3000}-\x{D7FF}]|[^\x20\x09-\x0D\x{3000}-\x{D7FF}]+)[\x20\x09-\x0D]*') AS parts FROM rows),
 worded AS (SELECT doc_id, r, lead, unnest(parts) AS part, unnest(range(len(parts))) AS i, len(parts) AS n FROM cut),
 keyed AS (SELECT *, rtrim(part, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS word FROM worded),
-wide AS (SELECT doc_id, r, i, n, max({'k': rpad(left(hex(encode(word)), 16), 16, '0'), 'i': i}) OVER (PARTITION BY doc_id, r ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS top FROM keyed),
-ends AS (SELECT DISTINCT doc_id, r, top.i AS i FROM wide WHERE i + 12 <= n),
+wide AS (SELECT doc_id, r, i, n, max({'k': rpad(left(hex(encode(word)), 16), 16, '0'), 'i': i}) OVER (PARTITION BY doc_id, r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS top FROM keyed),
+ends AS (SELECT DISTINCT doc_id, r, top.i AS i FROM wide WHERE i + 8 <= n),
 sorted AS (SELECT k.*, coalesce(sum(CASE WHEN e.i IS NOT NULL THEN 1 END) OVER (PARTITION BY k.doc_id, k.r ORDER BY k.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM keyed k LEFT JOIN ends e ON k.doc_id = e.doc_id AND k.r = e.r AND k.i = e.i),
 pieces AS (SELECT doc_id, r, p, string_agg(word, ' ' ORDER BY i) AS held, string_agg(part, '' ORDER BY i) AS raw, count(*) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY r, p) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM sorted GROUP BY doc_id, r, p),
 windows AS (SELECT doc_id, k, n, least(n, 3) AS w, string_agg(held, chr(10)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS held FROM pieces),

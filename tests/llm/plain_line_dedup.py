@@ -7,7 +7,7 @@ import re
 WORD = r"(?:[\u3000-\ud7ff]|[^\x20\x09-\x0D\u3000-\ud7ff]+)"
 
 
-def plain_lines(text, width=12):
+def plain_lines(text, width=8):
     """Lists of (row, words, raw) in order."""
     out = []
     for r, row in enumerate((text or "").split("\n")):
