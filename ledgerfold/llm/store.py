@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: tables in the shared folder, keys, folds, and bounded samples for fits."""
+"""Helpers that the corpus operators share: tables in the shared folder, folds, and bounded samples for fits."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.storage import freed, saved, shared_dir, unused
+from ledgerfold.storage import freed, saved, unused
 
-__all__ = ["bounded_sample", "fold", "freed", "labelled_sample", "learned", "row_key", "saved", "shared_dir", "small_batches", "unused"]
+__all__ = ["bounded_sample", "fold", "freed", "labelled_sample", "learned", "nearby", "saved", "small_batches", "unused"]
 
 #: Rows of an Arrow batch at most, where whole texts go to Python: a batch of long texts is held whole on both sides.
 BATCH_ROWS = 1_000
@@ -35,11 +35,6 @@ def nearby(df: DataFrame, rows: int, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def row_key(*columns: Column) -> Column:
-    """One text for some values, nulls included: what numbering and a join can both deal rows out by, so that texts move once."""
-    return F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), {"ignoreNullFields": "false"})
-
-
 def fold(column, modulus: int):
     """crc32 of the column as text, modulo ``modulus``; null for null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
