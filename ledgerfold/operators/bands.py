@@ -24,6 +24,11 @@ def plausible(lakh: Column, security_lakh: Column) -> Column:
     return F.coalesce(F.try_divide(lakh, security_lakh).between(RATIO_LOW, RATIO_HIGH), F.lit(False))
 
 
+def usable(value: Column, signed_on: Column) -> Column:
+    """Whether an award can be learned from: it has a positive value and a day on which it was signed."""
+    return (F.coalesce(value, F.lit(0.0)) > 0) & (F.coalesce(signed_on, F.lit("")) != "")
+
+
 def banded(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """(groups, n, centre, lo, hi): median and finite-sample quantiles of ``value``."""
     n = F.col("__n")

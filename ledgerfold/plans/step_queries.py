@@ -91,6 +91,15 @@ def alert_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.run_summary(log)
 
 
+@query(f"""{_A}, v AS (SELECT method, CASE WHEN line % 4 = 0 THEN NULL WHEN line % 4 = 1 THEN -value_crore ELSE value_crore END AS value, CASE WHEN part % 3 = 0 THEN NULL WHEN part % 3 = 1 THEN '' ELSE signed_on END AS day FROM awards)
+SELECT method, count(*) AS n, count(*) FILTER (coalesce(value, 0) > 0 AND coalesce(day, '') <> '') AS usable FROM v GROUP BY 1""")
+def usable_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, part = F.pmod("line", F.lit(4)), F.pmod("part", F.lit(3))
+    value = F.when(line == 0, F.lit(None).cast("double")).when(line == 1, -F.col("value_crore")).otherwise(F.col("value_crore"))
+    day = F.when(part == 0, F.lit(None).cast("string")).when(part == 1, "").otherwise(F.col("signed_on"))
+    return awards(spark, sf_dir).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(bands.usable(value, day)).alias("usable"))
+
+
 _S = "own AS (SELECT tender_id, line, part, bidder_id, CASE WHEN line % 3 = 0 THEN security_lakh END AS security_bdt FROM awards), det AS (SELECT tender_id, fetched_at, CASE WHEN CAST(tender_id AS BIGINT) % 5 > 0 THEN estimate END AS security_bdt FROM tenders UNION ALL SELECT tender_id, fetched_at || 'x', estimate / 2 FROM tenders WHERE CAST(tender_id AS BIGINT) % 4 = 0)"
 
 
