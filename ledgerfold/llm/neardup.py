@@ -28,6 +28,8 @@ WINDOW = 16
 ALIKE = 0.66
 #: Counters (a power of two) by which shingles are ordered from rare to frequent, the parts they are added up in, and pairs looked at in one step.
 COUNTERS, PARTS, STEP = 20, 256, 1 << 21
+#: Rows of one shingle that a task of the exact join holds; of more, every two of BLOCKS blocks meet by themselves.
+CROWD, BLOCKS = 100_000, 16
 
 
 def _functions(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +208,10 @@ def _full(k: int):
     return run
 
 
+_MET = ["key", "of", "short", "n_shingles", "place", "side"]
+_MET_TYPES = ", ".join(f"{c} long" for c in _MET)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each set once for every one of its rarest shingles, with the place of that one."""
     for batch in batches:
@@ -215,20 +221,18 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([len(x) for x in keys])
             places = np.concatenate([np.arange(x) for x in n])
             short, of, size = (np.repeat(rows.column(c).to_numpy(), n) for c in ("short", "of", "n_shingles"))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(of), pa.array(short), pa.array(size), pa.array(places)], names=_MET)
-
-
-_MET = ["key", "of", "short", "n_shingles", "place"]
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(of), pa.array(short), pa.array(size), pa.array(places), pa.array(np.full(len(places), -1))], names=_MET)
 
 
-def _met(percent: int):
+def _met(percent: int, crowd: int):
     """Over rows sorted by key and component: all pairs of one key and different components that may still be at the bound.
 
     Of the shingles that two sets share none comes before the first that both have, so from there on the smaller rest bounds
-    their intersection. Other shared ones may fail this; the first of a pair at the bound does not.
+    their intersection. Other shared ones may fail this; the first of a pair at the bound does not. Rows of a key with ``side`` 0 and 1
+    meet those of the other side only. A key of more than ``crowd`` rows is given back as it came.
     """
 
-    def pairs(key: np.ndarray, of: np.ndarray, short: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, of: np.ndarray, short: np.ndarray, size: np.ndarray, place: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, row = len(key), np.arange(len(key))
         turn = key[1:] != key[:-1]
         runs, groups = (np.append(np.flatnonzero(x) + 1, n) for x in (turn, turn | (of[1:] != of[:-1])))
@@ -241,25 +245,81 @@ def _met(percent: int):
             i = np.repeat(some, count)
             j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + begin[i]
             both = np.minimum(size[i] - place[i], size[j] - place[j])
-            may = (100 + percent) * both >= percent * (size[i] + size[j])
+            may = ((100 + percent) * both >= percent * (size[i] + size[j])) & ((side[i] < 0) | (side[i] != side[j]))
             a, b = short[i[may]], short[j[may]]
             if a.size:
                 found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                none = [pa.nulls(found.shape[1], pa.int64())] * len(_MET)
+                yield pa.record_batch([pa.array(found[0]), pa.array(found[1]), *none], names=["a", "b", *_MET])
             row, total = row[k:], total[k:] - total[k - 1]
 
+    def back(rows: list[np.ndarray]) -> pa.RecordBatch:
+        none = pa.nulls(len(rows[0]), pa.int64())
+        return pa.record_batch([none, none, *map(pa.array, rows)], names=["a", "b", *_MET])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * len(_MET)
+        held, crowded = [np.empty(0, np.int64)] * len(_MET), None
         for batch in batches:
-            rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _MET, strict=True)]
+            rows = [batch.column(c).to_numpy() for c in _MET]
+            if crowded is not None and len(rows[0]):
+                n = int(np.searchsorted(rows[0], crowded, side="right"))
+                if n:
+                    yield back([x[:n] for x in rows])
+                    rows = [x[n:] for x in rows]
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
             whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            yield from pairs(*(x[:whole] for x in rows))
+            # Keys that end here are whole; one of these may be crowded too.
+            yield from settled([x[:whole] for x in rows])
             held = [x[whole:] for x in rows]
-        yield from pairs(*held)
+            if len(held[0]) > crowd:
+                crowded = held[0][0]
+                yield back(held)
+                held = [x[:0] for x in held]
+        yield from settled(held)
+
+    def settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key = rows[0]
+        if not len(key):
+            return
+        begin = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        many = np.repeat(np.diff(np.append(begin, len(key))) > crowd, np.diff(np.append(begin, len(key))))
+        if many.any():
+            yield back([x[many] for x in rows])
+        yield from pairs(*(x[~many] for x in rows))
 
     return run
 
 
+def _blocks_of(crowd: DataFrame, turn: int) -> DataFrame:
+    """The rows of crowded keys, each for every block that its own meets: two blocks are a key."""
+    own, other = F.pmod(F.xxhash64("short", F.lit(turn)), F.lit(BLOCKS)), F.col("other")
+    rows = crowd.select(*_MET, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("other"))
+    low = F.when(F.col("side") == 1, other).when(F.col("side") == 0, F.col("own")).otherwise(F.least("own", other))
+    high = F.when(F.col("side") == 1, F.col("own")).when(F.col("side") == 0, other).otherwise(F.greatest("own", other))
+    side = F.when(F.col("side") >= 0, F.col("side")).when(F.col("own") == other, -1).otherwise((F.col("own") > other).cast("int")).cast("bigint")
+    return rows.select(F.xxhash64("key", low, high, F.lit(turn)).alias("key"), "of", "short", "n_shingles", "place", side.alias("side"))
+
+
+def _all_met(rows: DataFrame, percent: int, crowd: int) -> DataFrame:
+    """(a, b): pairs of ``_met``, each once; crowded keys go on in blocks until none is left."""
+    parts, found, turn = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [], 0
+    while True:
+        met = small_batches(rows).repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent, crowd), f"a long, b long, {_MET_TYPES}")
+        found.append(saved(met.distinct(), "met"))
+        left = found[-1].where("key is not null").select(*_MET)
+        if left.isEmpty():
+            break
+        rows, turn = _blocks_of(left, turn), turn + 1
+    every = found[0].where("a is not null").select("a", "b")
+    for more in found[1:]:
+        every = every.unionByName(more.where("a is not null").select("a", "b"))
+    if not turn:
+        return every
+    once = saved(every.distinct(), "met")
+    freed(*found)
+    return once
+
+
 _CLOSE = ["a", "b", "size_a", "size_b", "rare_a", "rare_b"]
 
 
@@ -288,9 +348,7 @@ def _apart(rare: DataFrame, early: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of ``rare`` (node, n_shingles, rare) in different components of ``early`` that may be at the bound, each once."""
     short = F.xxhash64("node")
     placed = rare.join(early, "node", "left").select(short.alias("short"), F.xxhash64(F.coalesce("component", "node")).alias("of"), "n_shingles", "rare")
-    rows = small_batches(placed).mapInArrow(_spread, "key long, of long, short long, n_shingles long, place long")
-    parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = saved(rows.repartition(parts, "key").sortWithinPartitions("key", "of").mapInArrow(_met(percent), "a long, b long").distinct(), "met")
+    met = _all_met(small_batches(placed).mapInArrow(_spread, _MET_TYPES), percent, CROWD)
     ends = saved(met.select(F.explode(F.array("a", "b")).alias("short")).distinct(), "ends")
     held = saved(rare.withColumn("short", short).join(nearby(ends, ends.count()), "short"), "held")
     one, two = (held.select(F.col("short").alias(f"short_{c}"), F.col("node").alias(c), F.col("n_shingles").alias(f"size_{c}"), F.col("rare").alias(f"rare_{c}")) for c in "ab")
