@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ledgerfold.functions.scalars import title_numerics
 from ledgerfold.operators import bands
+from ledgerfold.storage import freed, saved
 
 CATEGORIES = ["method", "category", "ministry"]
 NUMBERS = ["month", "year_offset", "title_len", "title_words", "n_numbers", "max_number", "sum_number", "has_unit", "has_year_range", "text_score", "history", "prior"]
@@ -139,10 +140,13 @@ def banded_prediction(rows: DataFrame, edges: DataFrame, size: Column, group: st
 
 def trained(rows: DataFrame, trees: int = 60) -> tuple[PipelineModel, PipelineModel, DataFrame]:
     """Median model, model of the miss's size, and calibrated edges, from (y, features): the last fifth by date calibrates."""
+    rows = saved(rows, "features")
     cut = cut_date(rows)
     early, late = rows.where(F.col("signed_on") <= cut), rows.where(F.col("signed_on") > cut)
     median = model(trees=trees).fit(early)
-    missed = median.transform(early).select(*rows.columns, F.abs(F.col("y") - F.col("y_hat")).alias("miss_size"))
+    missed = saved(median.transform(early).select(*rows.columns, F.abs(F.col("y") - F.col("y_hat")).alias("miss_size")), "missed")
     difficulty = model("miss_size", trees).fit(missed)
     scored = difficulty.transform(median.transform(late).select(*rows.columns, "y_hat").withColumn("miss_size", F.lit(0.0)))
-    return median, difficulty, scaled_band(scored.select("method", (F.col("y") - F.col("y_hat")).alias("miss"), F.col("miss_size_hat").alias("size")))
+    edges = saved(scaled_band(scored.select("method", (F.col("y") - F.col("y_hat")).alias("miss"), F.col("miss_size_hat").alias("size"))), "edges")
+    freed(rows, missed)
+    return median, difficulty, edges

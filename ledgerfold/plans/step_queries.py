@@ -208,5 +208,5 @@ def history_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = awards(spark, sf_dir).where("lakh > 0").select("tender_id", "line", "part", "bidder_id", "method", F.col("district").alias("category"), F.col("pe_id").alias("ministry"), "signed_on", "lakh", F.concat_ws(" ", "awardee", F.col("part").cast("string"), F.lit("sets 2024-2025")).alias("title"))
     rows = history.features(a.withColumn("y", F.log1p("lakh"))).withColumn("text_score", F.lit(0.0))
     primed = bands.expanding_prior(rows, ["ministry", "method"], "y", ["signed_on", "tender_id", "line", "part", "bidder_id"], 10.0)
-    median, difficulty, edges = history.trained(primed.withColumn("history", F.log1p("history")), trees=5)
+    median, difficulty, edges = history.trained(primed.withColumn("history", F.log1p("history")), trees=3)
     return edges.select("method", "n", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
