@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerfold.operators import load, quality, serve
 from ledgerfold.plans.catalog import query
 from ledgerfold.plans.frames import AWARDS_SQL, TENDERS_SQL, awards, table, tenders
+from ledgerfold.storage import saved
 from ledgerfold.streaming import alerts, ingest
 
 _T, _TA = f"WITH {TENDERS_SQL}", f"WITH {TENDERS_SQL}, {AWARDS_SQL}"
@@ -100,8 +101,8 @@ met AS (SELECT DISTINCT sub_id, tender_id, fetched_at FROM next, subs WHERE (con
 fresh AS (SELECT * FROM met WHERE CAST(tender_id AS BIGINT) % 7 <> 0)
 SELECT sub_id, tender_id, fetched_at FROM fresh QUALIFY row_number() OVER (PARTITION BY sub_id ORDER BY fetched_at, tender_id) <= 20""")
 def alert_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    next_ = alerts.candidates(tenders(spark, sf_dir), "")
-    subs = _subscriptions(spark, sf_dir)
+    next_ = saved(alerts.candidates(tenders(spark, sf_dir), ""), "next")
+    subs = _subscriptions(spark, sf_dir).repartition("sub_id")
     sent = subs.select("sub_id").crossJoin(F.broadcast(next_.where(F.pmod(F.col("tender_id").cast("bigint"), F.lit(7)) == 0).select("tender_id")))  # 500 rows at most
     return alerts.matched(next_, subs, sent, CHILDREN)
 

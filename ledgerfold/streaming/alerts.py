@@ -14,6 +14,8 @@ from ledgerfold.storage import freed, saved
 
 #: Notices looked at in one run, and messages to one subscription in one run.
 BATCH, PER_SUBSCRIPTION = 500, 20
+#: Notices in a number of bits; different filters that are sent to every task with their bits (more are dealt out).
+WORD, SENT_FILTERS = 62, 100_000
 
 
 def candidates(tenders: DataFrame, at: str, key: str = "", limit: int = BATCH) -> DataFrame:
@@ -56,8 +58,34 @@ def to_send(found: DataFrame, sent: DataFrame, per: int = PER_SUBSCRIPTION) -> D
 
 
 def matched(tenders: DataFrame, subscriptions: DataFrame, sent: DataFrame, children: dict[str, list[str]] | None = None, per: int = PER_SUBSCRIPTION) -> DataFrame:
-    """(sub_id, tender_id, fetched_at) to send for at most BATCH notices."""
-    return to_send(met(tenders, subscriptions, children), sent, per)
+    """(sub_id, tender_id, fetched_at) to send for at most BATCH notices: what ``to_send`` leaves of ``met``.
+
+    Equal filters are held against the notices once. Notices are numbered from the earliest, and what a subscription has met and was sent
+    is a bit for each, WORD to a number, so its pairs with notices are written only for what is left.
+    """
+    order = Window.partitionBy(F.lit(1)).orderBy("fetched_at", "tender_id")
+    numbered = saved(tenders.select("tender_id", "title", "ministry", "status", "category", "fetched_at", (F.dense_rank().over(order) - 1).alias("place")), "notices")
+    words = range((numbered.agg(F.max("place")).first()[0] or 0) // WORD + 1)
+    if len(words) * WORD > 4 * BATCH:  # too many columns
+        return to_send(met(numbered, subscriptions, children), sent, per)
+    ids = numbered.select("tender_id", "fetched_at", "place").distinct()
+    bits = lambda: [F.bit_or(F.when(F.floor(F.col("place") / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("place", F.lit(WORD)))).otherwise(F.lit(0).cast("bigint"))) for w in words]
+    filters = subscriptions.select("sub_id", F.explode("filters").alias("f"))
+    found = saved(filters.select("f").distinct().join(F.broadcast(numbered), fits(children)).groupBy("f").agg(*(b.alias(f"met_{w}") for w, b in zip(words, bits()))), "fits")  # BATCH rows
+    found = F.broadcast(found) if found.count() <= SENT_FILTERS else found
+    held = filters.join(found, "f").groupBy("sub_id").agg(*(F.bit_or(f"met_{w}").alias(f"met_{w}") for w in words))
+    gone = sent.where("sub_id is not null").join(F.broadcast(ids.select("tender_id", "place")), "tender_id").groupBy("sub_id").agg(*(b.alias(f"sent_{w}") for w, b in zip(words, bits())))
+    left = held.join(gone, "sub_id", "left").select("sub_id", *(F.col(f"met_{w}").bitwiseAND(F.bitwise_not(F.coalesce(f"sent_{w}", F.lit(0).cast("bigint")))).alias(f"left_{w}") for w in words))
+    one = F.lit(1).cast("bigint")
+    places_of = lambda word, w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: word.bitwiseAND(F.call_function("shiftleft", one, b)) != 0), lambda b: b + w * WORD)
+    taken, before = [], F.lit(0)
+    for w in words:
+        word = F.col(f"left_{w}")
+        # A word is read only if those before it do not fill the messages.
+        taken.append(F.when((word != 0) & (before < per), places_of(word, w)).otherwise(F.array().cast("array<int>")))
+        before = before + F.bit_count(word)
+    places = left.select("sub_id", F.explode(F.slice(F.concat(*taken), 1, per)).alias("place"))
+    return places.join(F.broadcast(ids), "place").select("sub_id", "tender_id", "fetched_at")  # BATCH rows
 
 
 def pruned(subscriptions: DataFrame, failures: DataFrame) -> DataFrame:

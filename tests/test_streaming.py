@@ -30,6 +30,19 @@ def test_cap_and_cursor(spark):
     assert [r["tender_id"] for r in alerts.candidates(n, "t1", "27").collect()] == ["28", "29"]
 
 
+def test_equal_filters_meet_the_notices_once(spark):
+    n = spark.createDataFrame([(f"{i:03d}", f"x{i % 9} y{i % 4}", f"M{i % 3}", "Live", "", f"t{i // 40}") for i in range(300)], NOTICE)
+    n = n.unionByName(n.where("tender_id < '005'").withColumn("fetched_at", F.lit("t9")))
+    kinds = [[{"q": "x1"}], [{"q": "X2"}, {"ministry": "M1"}], [{"q": "y3", "ministry": "M0"}, {"q": "nothing"}], [{"q": "nothing"}], [{"status": "Live"}]]
+    s = subs(spark, **{f"s{i}": kinds[i % 5] for i in range(40)})
+    sent = s.crossJoin(n.select("tender_id")).where(F.pmod(F.hash("sub_id", "tender_id"), F.lit(3)) == 0).select("sub_id", "tender_id")
+    sent = sent.unionByName(sent.limit(50)).unionByName(spark.createDataFrame([("s1", "gone"), (None, "003")], sent.schema))
+    for per in (1, 20, 500):
+        got = alerts.matched(n, s, sent, per=per)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alerts.to_send(alerts.met(n, s), sent, per).collect())) != []
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()  # no pairs of subscriptions and notices
+
+
 def test_stream_sends_once(spark, tmp_path):
     kinds = spark.createDataFrame([], NOTICE).schema
     s = subs(spark, a=[{"q": "road"}])
