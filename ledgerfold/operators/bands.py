@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerfold.operators import ranks
+from ledgerfold.storage import saved, sent
 
 COVERAGE = 0.80
 LOW, HIGH = (1 - COVERAGE) / 2, 1 - (1 - COVERAGE) / 2
@@ -29,22 +30,38 @@ def usable(value: Column, signed_on: Column) -> Column:
     return (F.coalesce(value, F.lit(0.0)) > 0) & (F.coalesce(signed_on, F.lit("")) != "")
 
 
-def banded(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """(groups, n, centre, lo, hi): median and finite-sample quantiles of ``value``."""
+def banded(df: DataFrame, groups: list[str], value: str, **how) -> DataFrame:
+    """(groups, n, centre, lo, hi): median and finite-sample quantiles of ``value``; ``how`` as in ``ranks.quantiles``."""
     n = F.col("__n")
     levels = {"centre": F.lit(0.5), "lo": F.greatest(F.lit(0.0), LOW * (n + 1) / n), "hi": F.least(F.lit(1.0), HIGH * (n + 1) / n)}
-    return ranks.quantiles(df, groups, value, levels)
+    return ranks.quantiles(df, groups, value, levels, **how)
+
+
+def _kinds(df: DataFrame) -> DataFrame:
+    """Every row of (pe_id, method) for all rows, its method and its buyer: (kind, key) in their place."""
+    kind = lambda name, key: F.struct(F.lit(name).alias("kind"), key.cast("string").alias("key"))
+    of = F.explode(F.array(kind("all", F.lit("all")), kind("method", F.col("method")), kind("buyer", F.col("pe_id"))))
+    return df.withColumn("__of", of).select("__of.*", *(c for c in df.columns if c not in ("pe_id", "method"))).where("key <> ''")
+
+
+def _first_methods(rows: DataFrame) -> DataFrame:
+    """(pe_id, method): that of a buyer's first row by (signed_on, tender_id). Days are counted first, so only rows of first days are compared."""
+    days = rows.groupBy("pe_id", "signed_on").agg(F.count(F.lit(1)).alias("__c")).groupBy("pe_id").agg(F.min(F.struct("signed_on")).alias("__day"))
+    first = sent(days.select(F.col("pe_id").alias("__pe"), F.col("__day.signed_on").alias("__on")), "first_days")
+    of_first = rows.join(first, (F.col("pe_id") == F.col("__pe")) & F.col("signed_on").eqNullSafe(F.col("__on")))
+    return of_first.groupBy("pe_id").agg(F.min_by("method", F.struct("tender_id", "method")).alias("method"))
 
 
 def security_fit(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (pe_id, method, lakh, security_lakh): the overall median log multiple, each method's, each buyer's shrunk to its method's.
 
-    A buyer's method is that of its first row by (signed_on, tender_id).
+    A buyer's method is that of its first row by (signed_on, tender_id). ``rows`` are read several times, so they are best a stored table.
     """
     ok = rows.where(plausible(F.col("lakh"), F.col("security_lakh"))).withColumn("r", F.log(F.col("lakh") / F.col("security_lakh")))
-    overall = ok.agg(F.percentile("r", 0.5).alias("overall"), F.count(F.lit(1)).alias("n"), F.max("lakh").alias("max_lakh"))
-    by_method = ok.where("method <> ''").groupBy("method").agg(F.percentile("r", 0.5).alias("by_method"), F.count(F.lit(1)).alias("k")).where(F.col("k") >= METHOD_ROWS).drop("k")
-    own = ok.where("pe_id <> ''").groupBy("pe_id").agg(F.percentile("r", 0.5).alias("own"), F.count(F.lit(1)).alias("k"), F.min_by("method", F.struct("signed_on", "tender_id", "method")).alias("method"))
+    medians = saved(ranks.quantiles(ok, ["kind", "key"], "r", {"median": F.lit(0.5)}, keys=["pe_id", "method"], spread=_kinds, stored=True), "medians")
+    overall = medians.agg(F.max(F.when(F.col("kind") == "all", F.col("median"))).alias("overall")).crossJoin(F.broadcast(ok.agg(F.count(F.lit(1)).alias("n"), F.max("lakh").alias("max_lakh"))))  # one row
+    by_method = medians.where((F.col("kind") == "method") & (F.col("n") >= METHOD_ROWS)).select(F.col("key").alias("method"), F.col("median").alias("by_method"))
+    own = medians.where("kind = 'buyer'").select(F.col("key").alias("pe_id"), F.col("median").alias("own"), F.col("n").alias("k")).join(_first_methods(ok.where("pe_id <> ''")), "pe_id")
     shrunk = own.join(by_method, "method", "left").crossJoin(F.broadcast(overall.select("overall")))  # one row
     fallback = F.coalesce("by_method", "overall")
     by_entity = shrunk.select("pe_id", ((F.col("own") * F.col("k") + fallback * SHRINK) / (F.col("k") + SHRINK)).alias("by_entity"))
@@ -82,21 +99,30 @@ def weekly_misses(rows: DataFrame, weeks: int = 30) -> DataFrame:
 
     ``rows``: (tender_id, signed_on, pe_id, method, lakh, security_lakh), believable ones. ``multiple`` is the buyer's shrunk median log
     multiple, else its method's, else the overall one. Weeks begin on Mondays; thin ones and those with too little before them are left
-    out, and ``place`` numbers the others. Earlier rows are counted by value first, and medians take the counts as weights.
+    out, and ``place`` numbers the others. Earlier rows are counted by how many of the weeks they are before, so each is read once for all.
     """
     r = F.log(F.col("lakh") / F.col("security_lakh"))
-    dated = rows.withColumn("week", F.date_trunc("week", F.col("signed_on").cast("date")).cast("date")).withColumn("r", r)
+    monday = F.date_trunc("week", F.col("signed_on").cast("date")).cast("date")
+    dated = saved(rows.select("tender_id", "signed_on", "pe_id", "method", "lakh", "security_lakh", monday.alias("week"), r.alias("r")), "dated")
     asked = dated.groupBy("week").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("week")).limit(weeks).where(F.col("n") >= WEEK_ROWS).select("week")
-    counts = dated.groupBy(F.col("week").alias("of"), "pe_id", "method", "r").agg(F.count(F.lit(1)).alias("c"))
-    # A few weeks meet all values before them.
-    earlier = counts.join(F.broadcast(asked), F.col("of") < F.col("week"))
-    median = F.percentile("r", 0.5, F.col("c"))
-    overall = earlier.groupBy("week").agg(median.alias("overall"), F.sum("c").alias("seen")).where(F.col("seen") >= FIT_ROWS)
-    by_method = earlier.where("method <> ''").groupBy("week", "method").agg(median.alias("by_method"), F.sum("c").alias("k")).where(F.col("k") >= METHOD_ROWS).drop("k")
-    own = earlier.where("pe_id <> ''").groupBy("week", "pe_id").agg(median.alias("own"), F.sum("c").alias("k"))
+    days = [F.lit(x["week"]).cast("date") for x in asked.where("week is not null").sort("week").collect()]  # ``weeks`` at most
+    slot = F.lit(0)  # the first week that is after the row's own
+    for day in days:
+        slot = slot + (F.col("week") >= day).cast("int")
+    names = F.array(*days) if days else F.array(F.lit(None).cast("date"))
+
+    def spread(d: DataFrame) -> DataFrame:
+        by = _kinds(d)
+        by = by.groupBy(*(c for c in by.columns if c != "__c")).agg(F.sum("__c").alias("__c"))
+        return by.withColumn("week", F.explode(F.slice(names, F.col("slot") + 1, F.lit(len(days))))).drop("slot")
+
+    before = dated.withColumn("slot", slot).where(F.col("slot") < len(days))
+    medians = saved(ranks.quantiles(before, ["week", "kind", "key"], "r", {"median": F.lit(0.5)}, keys=["slot", "pe_id", "method"], spread=spread, stored=True), "medians")
+    overall = medians.where((F.col("kind") == "all") & (F.col("n") >= FIT_ROWS)).select("week", F.col("median").alias("overall"))
+    by_method = medians.where((F.col("kind") == "method") & (F.col("n") >= METHOD_ROWS)).select("week", F.col("key").alias("method"), F.col("median").alias("by_method"))
+    own = medians.where("kind = 'buyer'").select("week", F.col("key").alias("pe_id"), F.col("median").alias("own"), F.col("n").alias("k"))
     # The method of a buyer's first row is the same for all later weeks.
-    first = dated.groupBy("pe_id").agg(F.min_by("method", F.struct("signed_on", "tender_id", "method")).alias("method"))
-    drawn = own.join(first, "pe_id").join(by_method, ["week", "method"], "left").join(F.broadcast(overall), "week")
+    drawn = own.join(_first_methods(dated), "pe_id").join(by_method, ["week", "method"], "left").join(F.broadcast(overall), "week")  # a row a week
     fallback = F.coalesce("by_method", "overall")
     by_entity = drawn.select("week", "pe_id", ((F.col("own") * F.col("k") + fallback * SHRINK) / (F.col("k") + SHRINK)).alias("by_entity"))
     placed = overall.select("week", "overall", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("week")).alias("place"))  # a row a week
@@ -107,11 +133,15 @@ def weekly_misses(rows: DataFrame, weeks: int = 30) -> DataFrame:
 
 def weekly_bands(misses: DataFrame) -> DataFrame:
     """(week, n, lo, hi, coverage, mape, width): each week's band is that of the misses of the BAND_WEEKS weeks before it."""
-    pooled = misses.select("miss", F.explode(F.sequence(F.col("place") + 1, F.col("place") + BAND_WEEKS)).alias("for"))
-    edges = banded(pooled, ["for"], "miss").select("for", "lo", "hi")
-    scored = misses.where(F.col("place") > BAND_WEEKS).join(F.broadcast(edges), F.col("place") == F.col("for"))  # a row a week
+    rows = saved(misses.select("week", "place", "miss"), "misses")
+    later = lambda d: d.withColumn("for", F.explode(F.sequence(F.col("place") + 1, F.col("place") + BAND_WEEKS))).drop("place")
+    edges = saved(banded(rows, ["for"], "miss", keys=["place"], spread=later, stored=True).select("for", "lo", "hi"), "edges")
+    scored = rows.where(F.col("place") > BAND_WEEKS)
+    error = scored.select("week", F.abs(F.exp(-F.col("miss")) - 1).alias("error"))
+    typical = ranks.quantiles(error, ["week"], "error", {"mape": F.lit(0.5)}, stored=True).select("week", "mape")
     held = F.col("miss").between(F.col("lo"), F.col("hi")).cast("double")
-    return scored.groupBy("week", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.avg(held).alias("coverage"), F.percentile(F.abs(F.exp(-F.col("miss")) - 1), 0.5).alias("mape"), F.first(F.exp(F.col("hi") - F.col("lo"))).alias("width"))
+    shares = scored.join(F.broadcast(edges), F.col("place") == F.col("for")).groupBy("week", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.avg(held).alias("coverage"))  # a row a week
+    return shares.join(typical, "week").select("week", "lo", "hi", "n", "coverage", "mape", F.exp(F.col("hi") - F.col("lo")).alias("width"))
 
 
 def weekly_medians(rows: DataFrame, weeks: int = 26) -> DataFrame:
@@ -140,30 +170,57 @@ def plan_pairs(estimates: DataFrame, awards: DataFrame) -> DataFrame:
     return joined.withColumn("ratio", F.col("value_bdt") / F.col("estimate_bdt"))
 
 
-def plan_fit(pairs: DataFrame) -> DataFrame:
+def plan_fit(pairs: DataFrame, stored: bool = False) -> DataFrame:
     """(method, n, centre, lo, hi) of log ratios; the pooled figures have a null method."""
-    # Each row counts for its method and for all, so that one ranking serves both.
+    # Each row counts for its method and for all, so that one count of bins serves both.
     both = F.explode(F.array(F.struct("method", F.lit(False).alias("pooled")), F.struct(F.lit(None).cast("string").alias("method"), F.lit(True).alias("pooled"))))
-    logs = pairs.select(F.log("ratio").alias("r"), both.alias("g")).select("r", "g.method", "g.pooled").where("pooled or method <> ''")
-    return banded(logs, ["method", "pooled"], "r").where((F.col("n") >= PLAN_ROWS) | F.col("pooled")).select("n", "centre", "lo", "hi", "method")
+    spread = lambda d: d.withColumn("__g", both).select("__g.*", *(c for c in d.columns if c != "method")).where("pooled or method <> ''")
+    logs = pairs.select("method", F.log("ratio").alias("r"))
+    return banded(logs, ["method", "pooled"], "r", keys=["method"], spread=spread, stored=stored).where((F.col("n") >= PLAN_ROWS) | F.col("pooled")).select("n", "centre", "lo", "hi", "method")
+
+
+def halves(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The earlier half of stored ``rows`` by ``order`` (less one if their number is odd) and the rest.
+
+    Rows are counted by the first column, and only those that share its value with the row in the middle are ranked, by ranges.
+    """
+    first, rest = order[0], order[1:]
+    counts = ranks.running(rows.groupBy(first).agg(F.count(F.lit(1)).alias("__k")), [], [first], {"__b": F.col("__k")})
+    half = rows.count() // 2
+    middle = counts.where((F.col("__b") <= half) & (F.col("__b") + F.col("__k") > half)).first()
+    if middle is None:
+        return rows.where("false"), rows
+    day = F.lit(middle[first]).cast(rows.schema[first].dataType)
+    at = F.struct(*rest) if rest else F.struct(F.lit(0))
+    mixed = ranks.ranked(rows.where(F.col(first).eqNullSafe(day)).withColumn("__at", at), [], "__at")
+    early = F.col("__i") < half - middle["__b"]
+    if middle[first] is None:
+        before, after = rows.where("false"), rows.where(F.col(first).isNotNull())
+    else:
+        before, after = rows.where(F.col(first).isNull() | (F.col(first) < day)), rows.where(F.col(first) > day)
+    return before.unionByName(mixed.where(early).select(*rows.columns)), after.unionByName(mixed.where(~early).select(*rows.columns))
 
 
 def plan_halves(pairs: DataFrame, order: list[str]) -> DataFrame:
     """One row: fitted on the earlier half of the pairs by ``order``, scored on the later one.
 
-    (n, n_test, test_from, median_ratio, raw_error, mape, coverage, width). Rows are ranked by ranges, so no task holds all of them.
+    (n, n_test, test_from, median_ratio, raw_error, mape, coverage, width). Pairs are written down once; neither halves nor medians need them sorted.
     """
-    placed = ranks.ranked(pairs.withColumn("__at", F.struct(*order)), [], "__at")
-    later = F.col("__i") >= F.floor(F.col("__n") / 2)
-    fit = plan_fit(placed.where(~later).select("method", "ratio"))
+    rows = saved(pairs, "pairs")
+    train, test = halves(rows, order)
+    fit = saved(plan_fit(train, stored=True), "fit")
     own = fit.where("method is not null").select("method", "centre", "lo", "hi")
     pooled = fit.where("method is null").select(*(F.col(c).alias(f"all_{c}") for c in ("centre", "lo", "hi")))
-    test = placed.where(later).join(F.broadcast(own), "method", "left").crossJoin(F.broadcast(pooled))  # a row a method, and one
+    priced = test.join(F.broadcast(own), "method", "left").crossJoin(F.broadcast(pooled))  # a row a method, and one
     centre, lo, hi = (F.coalesce(c, f"all_{c}") for c in ("centre", "lo", "hi"))
     r = F.log("ratio")
-    scored = test.agg(F.count(F.lit(1)).alias("n_test"), F.min("signed_on").alias("test_from"), F.percentile(F.abs(F.exp(centre - r) - 1), 0.5).alias("mape"), F.avg(r.between(lo, hi).cast("double")).alias("coverage"), F.percentile(F.exp(hi - lo), 0.5).alias("width"))
-    every = pairs.agg(F.count(F.lit(1)).alias("n"), F.percentile("ratio", 0.5).alias("median_ratio"), F.percentile(F.abs(1 / F.col("ratio") - 1), 0.5).alias("raw_error"))
-    return every.crossJoin(scored)  # one row each
+    median = lambda df, value: ranks.quantiles(df, [], value, {value: F.lit(0.5)}, stored=True).select(value)
+    scored = priced.agg(F.count(F.lit(1)).alias("n_test"), F.min("signed_on").alias("test_from"), F.avg(r.between(lo, hi).cast("double")).alias("coverage"), F.percentile(F.exp(hi - lo), 0.5).alias("width"))  # widths: one a method
+    mape = median(priced.select(F.abs(F.exp(centre - r) - 1).alias("mape")), "mape")
+    every = rows.agg(F.count(F.lit(1)).alias("n"))
+    for figure in (median(rows.select(F.col("ratio").alias("median_ratio")), "median_ratio"), median(rows.select(F.abs(1 / F.col("ratio") - 1).alias("raw_error")), "raw_error"), scored, mape):
+        every = every.crossJoin(F.broadcast(figure))  # one row each
+    return every
 
 
 def plan_gate(tested: int, error: float | None, coverage: float | None, rival: float | None) -> tuple[bool, str]:

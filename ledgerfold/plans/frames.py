@@ -26,9 +26,24 @@ def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Suppliers that are sent to every task; more are dealt out.
+SENT_SUPPLIERS = 100_000
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their supplier."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    supplier = F.broadcast(supplier) if supplier.count() <= SENT_SUPPLIERS else supplier
+    return table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer."""
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+
 def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, orders, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "supplier")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = lines(spark, sf_dir).join(ordered(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))  # lines are dealt out once
     return joined.select(
         F.col("l_orderkey").cast("string").alias("tender_id"), F.col("l_suppkey").cast("string").alias("bidder_id"), F.col("s_name").alias("awardee"), F.col("c_nationkey").cast("string").alias("pe_id"), F.col("l_returnflag").alias("method"),
         F.col("l_linestatus").alias("district"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("signed_on"), (F.col("l_extendedprice") / 1000).alias("value_crore"), F.col("l_extendedprice").alias("lakh"), (F.col("l_quantity") * 30).alias("security_lakh"),

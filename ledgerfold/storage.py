@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Spark then deletes what a write has shuffled as soon as the write ends, so that the shuffles of one step do not lie beside those of the next.
@@ -43,6 +44,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """``df`` as by ``saved``, marked to go to every task in a join if it has at most so many rows; the result of a join is the same."""
+    made = saved(df, name)
+    return F.broadcast(made) if made.count() <= rows else made
+
+
 def freed(*tables: DataFrame) -> None:
     """Deletes tables made by ``saved`` that nothing reads any more."""
     for table in tables:

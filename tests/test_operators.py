@@ -6,7 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import taxonomy
-from ledgerfold.operators import bands, classify, evaluate, labels, load, profiles, quality, resolve, serve
+from ledgerfold.operators import bands, classify, evaluate, labels, load, profiles, quality, ranks, resolve, serve
+from ledgerfold.storage import saved
 
 
 def awards(spark):
@@ -58,6 +59,76 @@ def test_security_route(spark):
     assert out.where("multiple is null").count() == 0
 
 
+def test_quantiles_of_rows_in_several_groups(spark):
+    import numpy as np
+
+    odd = [0.0, -0.0, 1e300, -1e300, 5e-324, math.inf]
+    rows = [("a", 1, math.sin(i) * 10 ** (i % 9 - 4)) for i in range(400)] + [("a", 2, 3.0)] * 50 + [("b", 1, 2.0 + i * 1e-12) for i in range(300)] + [(None, 1, v) for v in odd] + [("c", 1, 7.0), ("c", 3, None)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    level = {"mid": F.lit(0.5), "low": F.greatest(F.lit(0.0), 0.1 * (F.col("__n") + 1) / F.col("__n")), "top": F.lit(1.0)}
+    want = lambda v: (len(v), *np.quantile(v, [0.5, 0.1 * (len(v) + 1) / len(v), 1.0]))
+    same = lambda got, v: np.testing.assert_allclose([got["n"], got["mid"], got["low"]], want(v)[:3], rtol=1e-12)
+    plain = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", level).collect()}
+    assert plain["c"]["n"] == 1 and plain["c"]["low"] == 7.0 and plain[None]["top"] == math.inf and len(plain) == 4
+    for g in ("a", "b"):
+        same(plain[g], [v for x, _, v in rows if x == g])
+    twice = lambda d: d.withColumn("of", F.explode(F.sequence(F.col("k"), F.lit(2)))).drop("k").where("of <= 2")
+    got = {r["of"]: r for r in ranks.quantiles(df.where("g is not null"), ["of"], "v", level, keys=["k"], spread=twice).collect() if r["of"] in (1, 2)}
+    same(got[1], [v for g, k, v in rows if g and k == 1 and v is not None])
+    same(got[2], [v for g, k, v in rows if g and k <= 2 and v is not None])
+
+
+def _signed(spark, n=900):
+    rows = [(str(i), f"2026-{i % 6 + 1:02d}-{i * 7 % 28 + 1:02d}", f"p{i % 4}" if i % 50 else None, "ABC"[i % 3] if i % 41 else "", 20.0 + i * 37 % 101, 1.0 + i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "tender_id string, signed_on string, pe_id string, method string, lakh double, security_lakh double")
+
+
+def test_weekly_misses_read_earlier_rows_once(spark):
+    """Against the plain form: all earlier rows joined to each week."""
+    import datetime
+
+    import numpy as np
+
+    rows = _signed(spark)
+    got = bands.weekly_misses(rows, 7)
+    assert "percentile(" not in got._jdf.queryExecution().toString()  # which holds all values of a group in one task
+    data = [(*r, math.log(r["lakh"] / r["security_lakh"])) for r in rows.collect()]
+    monday = lambda day: (d := datetime.date.fromisoformat(day)) - datetime.timedelta(d.weekday())
+    every = [monday(r[1]) for r in data]
+    weeks = sorted(w for w in sorted(set(every))[-7:] if every.count(w) >= bands.WEEK_ROWS)
+    first = {p: min((r[1], r[0], r[3]) for r in data if r[2] == p)[2] for p in {r[2] for r in data}}
+    want = []
+    for place, week in enumerate(weeks, 1):
+        seen = [r for r in data if monday(r[1]) < week]
+        overall = np.median([r[6] for r in seen])
+        method = {m: np.median(v) for m in "ABC" if len(v := [r[6] for r in seen if r[3] == m]) >= bands.METHOD_ROWS}
+        for r in (r for r in data if monday(r[1]) == week):
+            own = [x[6] for x in seen if r[2] and x[2] == r[2]]
+            back = method.get(first[r[2]], overall)
+            price = (np.median(own) * len(own) + back * 10) / (len(own) + 10) if own else method.get(r[3], overall)
+            want.append((week, place, round(r[6] - price, 9)))
+    assert sorted((r["week"], r["place"], round(r["miss"], 9)) for r in got.collect()) == sorted(want) != []
+    assert bands.weekly_misses(rows.where("false"), 7).count() == 0
+
+
+def test_halves_rank_one_day_only(spark):
+    order = ["day", "id"]
+    for n, days in ((0, 1), (1, 1), (7, 1), (40, 3), (41, 9), (60, 60)):
+        rows = [(None if i % 11 == 5 else f"d{i * 13 % days:02d}", i * 29 % 61) for i in range(n)]
+        df = saved(spark.createDataFrame(rows, "day string, id int"), "rows")
+        early, late = (sorted(map(tuple, x.select(*order).collect()), key=lambda r: (r[0] or "", r[1])) for x in bands.halves(df, order))
+        assert early + late == sorted(rows, key=lambda r: (r[0] or "", r[1])) and len(early) == n // 2
+
+
+def test_security_fit_holds_no_group_in_one_task(spark):
+    rows = _signed(spark)
+    overall, by_method, by_entity = bands.security_fit(rows)
+    for df in (overall, by_method, by_entity):
+        assert "percentile(" not in df._jdf.queryExecution().toString()
+    want = rows.select(F.percentile(F.log(F.col("lakh") / F.col("security_lakh")), 0.5)).first()[0]
+    assert abs(overall.first()["overall"] - want) < 1e-12 and by_entity.count() == 4 and by_method.count() == 3
+
+
 def test_routing_and_deferral(spark):
     t = spark.createDataFrame([("1",), ("2",), ("3",)], "tender_id string")
     route = lambda ids, q: spark.createDataFrame([(i, q / 2, q, q * 2) for i in ids], "tender_id string, q10 double, q50 double, q90 double")
