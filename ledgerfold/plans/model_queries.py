@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerfold.operators import bands, classify, evaluate, labels, quality
 from ledgerfold.plans.catalog import query
-from ledgerfold.plans.frames import AWARDS_SQL, TENDERS_SQL, awards, table, tenders
+from ledgerfold.plans.frames import AWARDS_SQL, TENDERS_SQL, awards, lines, ordered, table, tenders
+from ledgerfold.storage import saved
 
 _T, _A = f"WITH {TENDERS_SQL}", f"WITH {AWARDS_SQL}"
 _OK = "ok AS (SELECT *, ln(lakh / security_lakh) AS r FROM awards WHERE lakh / security_lakh BETWEEN 5 AND 300)"
@@ -24,7 +25,7 @@ asked AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'new' ELSE CAST(c_nati
 SELECT a.pe_id, a.method, round(coalesce(by_entity, by_method, overall), 4) AS multiple FROM asked a LEFT JOIN s ON a.pe_id = s.pe_id LEFT JOIN m ON a.method = m.method, o""")
 def security_ratio_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiples of known buyers, of new buyers by their method, and of those whose method is new too."""
-    rows = _rows(spark, sf_dir)
+    rows = saved(_rows(spark, sf_dir).select("pe_id", "method", "lakh", "security_lakh", "signed_on", "tender_id", "line"), "rows")
     first = F.col("line") == 1
     asked = rows.select(F.when(first, "new").otherwise(F.col("pe_id")).alias("pe_id"), F.when(first & (F.col("method") == "N"), "new").otherwise(F.col("method")).alias("method")).distinct()
     return bands.security_multiple(asked, bands.security_fit(rows)).select("pe_id", "method", F.round("multiple", 4).alias("multiple"))
