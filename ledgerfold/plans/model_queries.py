@@ -42,9 +42,13 @@ _PAIRS = "pairs AS (SELECT tender_id, line, part, bidder_id, method, signed_on,
 
 
 def _plan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _rows(spark, sf_dir)
-    estimates = a.groupBy("tender_id").agg(F.max("estimate").alias("estimate_bdt"), F.max("read_on").alias("read_on"))
-    return bands.plan_pairs(estimates, a.withColumn("value_bdt", F.col("lakh")).drop("estimate", "read_on"))
+    """An order's estimate meets the order's lines; without a customer it has none."""
+    estimates = ordered(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("tender_id"), F.col("o_totalprice").alias("estimate_bdt"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("read_on"))
+    signed = lines(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("tender_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").cast("string").alias("bidder_id"),
+        F.col("l_returnflag").alias("method"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("signed_on"), F.col("l_extendedprice").alias("value_bdt"),
+    )
+    return bands.plan_pairs(estimates, signed)
 
 
 @query(f"{_A}, {_PAIRS} SELECT tender_id, line, part, bidder_id, method, signed_on, round(ratio, 6) AS ratio FROM pairs")
